@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable
@@ -19,12 +21,13 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _done:
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, "tesserae.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(path))
+    folder = Path(tempfile.mkdtemp(prefix="tesserae-")).resolve()  # the driver serves the file from here until it ends
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = folder / "tesserae.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(path))
     _done.add(sc.applicationId)
 
 
