@@ -141,7 +141,7 @@ class _Links:
         self.scratch, self.docs, self.classes, self.k, self.percent = scratch, docs, classes, k, percent
         self.links: list[DataFrame] = []
         self.found: DataFrame | None = None
-        self.rounds = 0
+        self.sets: DataFrame | None = None
 
     def estimate(self, pairs: DataFrame, tag: str) -> DataFrame:
         """``pairs`` (a > b, distinct) with the sketch estimate; saved."""
@@ -152,16 +152,24 @@ class _Links:
         est = both.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, est double")
         return self.scratch.save(est, tag)
 
-    def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full sets reach the limit; saved."""
+    def fetch(self, pairs: DataFrame, tag: str) -> None:
+        """Compute the full sets that ``pairs`` need and that no earlier call has; texts are read once for all."""
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # a class representative is a row of its own class: its (doc_id, class) is found again by doc_id
+        if self.sets is not None:
+            ids = self.scratch.save(ids.join(self.sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), f"{tag}_ids")
+            if ids.isEmpty():
+                return
         texts = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-        sets = self.scratch.save(texts.mapInArrow(_sets(self.k), "id long, items binary"), f"{tag}_sets")
-        a, b = sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
-        out = self.scratch.save(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_linked(self.percent), "a long, b long").distinct(), tag)
-        self.scratch.drop(f"{tag}_sets")
-        return out
+        new = self.scratch.save(texts.mapInArrow(_sets(self.k), "id long, items binary"), f"{tag}_sets")
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+    def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
+        """Those of ``pairs`` (a, b) whose full sets reach the limit; saved.
+
+        A representative's row is found by its doc_id; where rows share that id, each of their sets is tried.
+        """
+        a, b = self.sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), self.sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
+        return self.scratch.save(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_linked(self.percent), "a long, b long"), tag)
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose ends are not in one component yet."""
@@ -171,9 +179,17 @@ class _Links:
         c = pairs.join(f.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(f.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return c.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
+    def component_of(self, rows: DataFrame, node: str, name: str) -> DataFrame:
+        """``rows`` with column ``name``: the component of ``node`` so far."""
+        if self.found is None:
+            return rows.withColumn(name, F.col(node))
+        f = self.found.select(F.col("node").alias(node), F.col("component").alias(name))
+        return rows.join(f, node, "left").withColumn(name, F.coalesce(name, node))
+
     def test(self, est: DataFrame, tag: str) -> None:
         """Links among estimated pairs: each document's likeliest pair first, then those still apart."""
         likely = est.where(F.col("est") >= DROP)
+        self.fetch(likely, tag)
         best = likely.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
         self._take(self.verify(best, f"{tag}_best"), f"{tag}_c1")
         rest = self.scratch.save(self.apart(likely.join(best, ["a", "b"], "left_anti")).select("a", "b"), f"{tag}_rest")
@@ -217,27 +233,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     est = work.estimate(stars, "est_0")
     work.test(est, "test_0")
 
-    # near the leader: settled; far from it: need not meet the near ones; the rest meet all
-    marked = members.where("rep <> lead").join(est.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "est"), ["rep", "lead"], "left")
-    if work.found is not None:
-        f = work.found
-        marked = marked.join(f.select(F.col("node").alias("rep"), "component"), "rep", "left").join(f.select(F.col("node").alias("lead"), F.col("component").alias("its")), "lead", "left")
-        near = F.coalesce(F.col("est") >= NEAR, F.lit(False)) & F.coalesce(F.col("component") == F.col("its"), F.lit(False))
-    else:
-        near = F.lit(False)
-    kind = F.when(near, 0).when(F.coalesce(F.col("est") < FAR, F.lit(False)), 2).otherwise(1)
-    marked = marked.select("key", "rep", kind.alias("kind"))
-    open_ = marked.groupBy("key").agg(F.sum((F.col("kind") > 0).cast("long")).alias("loose"), F.sum((F.col("kind") == 1).cast("long")).alias("mid"), F.count("*").alias("m")).where("mid > 0 and m > 1 or loose > 1")
+    # A bucket whose members are all in one component is done.  Else those outside the leader's component meet
+    # the bucket, but the ones far from the leader need not meet the ones near it.
+    comp = work.component_of
+    marked = comp(comp(members.where("rep <> lead").join(est.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "est"), ["rep", "lead"], "left"), "rep", "c"), "lead", "its")
+    est_of = lambda test: F.coalesce(test, F.lit(False))
+    kind = F.when(est_of(F.col("est") >= NEAR) & (F.col("c") == F.col("its")), 0).when(est_of(F.col("est") < FAR), 2).otherwise(1)
+    marked = scratch.save(marked.select("key", "rep", "c", (F.col("c") != F.col("its")).alias("out"), kind.alias("kind")), "marked")
+    open_ = marked.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("loose"), F.sum((F.col("kind") == 1).cast("long")).alias("mid"), F.count("*").alias("m")).where("loose > 0 and (mid > 0 and m > 1 or loose > 1)")
     rest = scratch.save(marked.join(open_.select("key", "loose", "mid"), "key").where("kind > 0 or mid > 0"), "open")
     most = rest.agg(F.max("loose")).first()[0] or 0
     for k in range(-(-most // SLICE)):
         turn = F.ceil(F.col("loose") / SLICE)
-        lead = rest.where((F.col("kind") > 0) & (turn > k) & (F.pmod(F.xxhash64("rep"), turn) == k)).select("key", F.col("rep").alias("x"), F.col("kind").alias("kx"))
-        meet = lead.join(rest.select("key", F.col("rep").alias("y"), F.col("kind").alias("ky")), "key").where("x <> y and (kx = 1 or ky > 0)")
+        lead = rest.where(F.col("out") & (turn > k) & (F.pmod(F.xxhash64("rep"), turn) == k)).select("key", F.col("rep").alias("x"), F.col("kind").alias("kx"), F.col("c").alias("cx"))
+        meet = lead.join(rest.select("key", F.col("rep").alias("y"), F.col("kind").alias("ky"), F.col("c").alias("cy")), "key").where("cx <> cy and (kx = 1 or ky > 0)")
         pairs = meet.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-        pairs = work.apart(pairs.join(est.select("a", "b"), ["a", "b"], "left_anti"))
-        more = work.estimate(pairs, f"est_{k + 1}")
-        if not more.isEmpty():
+        more = work.estimate(work.apart(pairs.join(est.select("a", "b"), ["a", "b"], "left_anti")), f"est_{k + 1}")
+        if not more.where(F.col("est") >= DROP).isEmpty():
             work.test(more, f"test_{k + 1}")
 
     groups = classes.select("f1", "f2", "rep", "rows")
@@ -249,7 +261,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     named = some.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     lone = all_.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     out = scratch.save(named.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
-    scratch.drop("sketches", "classes", "leaders", "members", "open")
+    scratch.drop("sketches", "classes", "leaders", "members", "marked", "open", "est_0")
     return out
 
 
