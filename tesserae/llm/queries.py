@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .exact_topk import exact_top_k
 from .near_dedup import near_duplicates
+from .permutation_index import nearest
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return exact_top_k(e, e.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return nearest(e, e.where(F.col("vec_id") % 20 == 0), 20)
+
+
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-WORDS = rf"list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), x -> x <> '')"
+WORDS = rf"list_filter(string_split_regex({LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 OP2_SQL = f"""
 with recursive d as (select doc_id, {WORDS} as w from documents),
 s as (select doc_id, case when coalesce(len(w), 0) = 0 then [] when len(w) = 1 then [w[1]]
-      else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s from d),
+      else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from d),
 e as (select doc_id, unnest(s) as g from s),
 c as (select a.doc_id as a, b.doc_id as b, count(*) as n from e a join e b using (g) where a.doc_id <> b.doc_id group by 1, 2),
 l as (select c.a, c.b from c join s x on x.doc_id = c.a join s y on y.doc_id = c.b where 100 * c.n >= 80 * (len(x.s) + len(y.s) - c.n)),
@@ -27,5 +40,13 @@ m as (select x, min(y) as y from r group by x)
 select s.doc_id, cast(len(s.s) as bigint) as n_shingles, m.y as component_id, s.doc_id = m.y as kept from s join m on m.x = s.doc_id
 """
 
-QUERIES = {"op2_near_dedup": op2_near_dedup}
-ORACLES = {"op2_near_dedup": OP2_SQL}
+OP5_SQL = """
+with v as (select vec_id, list_transform(cast(embedding as double[]), lambda x: floor(256 * x)) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+QUERIES = {"op2_near_dedup": op2_near_dedup, "op5_exact_topk": op5_exact_topk, "op8_permutation_index": op8_permutation_index}
+ORACLES = {"op2_near_dedup": OP2_SQL, "op5_exact_topk": OP5_SQL}
