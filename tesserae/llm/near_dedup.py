@@ -32,6 +32,8 @@ DROP, NEAR, FAR = 0.5, 0.8, 0.22
 #: Shingles whose frequency is known when the rarest are chosen; the others count as rare.  Ratio of set sizes
 #: that share a posting key.
 FREQUENT, SIZE_STEP = 1 << 18, 1.05
+#: log2 of the most bits in the broadcast filter of wanted ids (16 MB); a fuller filter only lets more texts by.
+MOST_BITS = 27
 #: Words of a batch that are hashed together.
 BATCH_WORDS = 600_000
 
@@ -101,11 +103,14 @@ def _sketched(k: int):
     return run
 
 
-def _sets(k: int):
+def _sets(k: int, wanted):
     schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = wanted.value
         for b in slices(batches, "text"):
+            place = np.asarray(b.column("place")).astype(U64)
+            b = b.filter(pa.array((bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)).astype(bool)))
             items = [shingle_set(t, _HASHES, k).tobytes() for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.binary())], schema=schema)
 
@@ -207,13 +212,22 @@ class _Links:
 
     def fetch(self, pairs: DataFrame, tag: str) -> None:
         """Compute the full sets that ``pairs`` need and that no earlier call has; texts are read once for all."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if self.sets is not None:
-            ids = self.scratch.save(ids.join(self.sets.select(F.col("id").alias("doc_id")), "doc_id", "left_anti"), f"{tag}_ids")
-            if ids.isEmpty():
-                return
-        texts = self.docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-        new = self.scratch.save(texts.mapInArrow(_sets(self.k), "id long, items binary"), f"{tag}_sets")
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        ids = self.scratch.save(ids, f"{tag}_ids")
+        many = ids.count()
+        if not many:
+            return
+        # texts that cannot be wanted are left out before anything is shuffled
+        bits = 1 << min(MOST_BITS, max(12, (16 * many).bit_length()))
+        place = F.pmod(F.xxhash64("id"), F.lit(bits))
+        rows = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("b")).collect()
+        bitmap = np.zeros(bits // 64, np.int64)
+        bitmap[[r.w for r in rows]] = [r.b for r in rows]
+        sent = ids.sparkSession.sparkContext.broadcast(bitmap.view(U64))
+        texts = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).where("doc_id is not null")
+        new = self.scratch.save(texts.mapInArrow(_sets(self.k, sent), "id long, items binary").join(ids, "id", "left_semi"), f"{tag}_sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
