@@ -109,14 +109,38 @@ def _sets(k: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = wanted.value
         for b in slices(batches, "text"):
-            place = np.asarray(b.column("place")).astype(U64)
-            b = b.filter(pa.array((bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)).astype(bool)))
+            b = b.filter(pa.array(_in_bitmap(bitmap, np.asarray(b.column("place")))))
             items = [shingle_set(t, _HASHES, k).tobytes() for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.binary())], schema=schema)
 
     return run
 
 
+def _bitmap(ids: DataFrame, many: int):
+    """(bits, broadcast bitmap) of the hashes of column id; it has at most 2**MOST_BITS bits."""
+    bits = 1 << min(MOST_BITS, max(12, (16 * many).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("b")).collect()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[[r.w for r in rows]] = [r.b for r in rows]
+    return bits, ids.sparkSession.sparkContext.broadcast(bitmap.view(U64))
+
+
+def _in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
+    place = place.astype(U64)
+    return (bitmap[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)).astype(bool)
+
+
+def _split(sent, inside: bool):
+    """The rows whose ``_place`` is in the bitmap, or the others; without that column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_in_bitmap(sent.value, np.asarray(b.column("_place"))) == inside)).drop_columns(["_place"])
+
+    return run
+
+
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, agreement of the sketches, less what chance gives a byte)."""
     for b in batches:
@@ -220,12 +244,7 @@ class _Links:
         if not many:
             return
         # texts that cannot be wanted are left out before anything is shuffled
-        bits = 1 << min(MOST_BITS, max(12, (16 * many).bit_length()))
-        place = F.pmod(F.xxhash64("id"), F.lit(bits))
-        rows = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("b")).collect()
-        bitmap = np.zeros(bits // 64, np.int64)
-        bitmap[[r.w for r in rows]] = [r.b for r in rows]
-        sent = ids.sparkSession.sparkContext.broadcast(bitmap.view(U64))
+        bits, sent = _bitmap(ids, many)
         texts = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).where("doc_id is not null")
         new = self.scratch.save(texts.mapInArrow(_sets(self.k, sent), "id long, items binary").join(ids, "id", "left_semi"), f"{tag}_sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
@@ -352,9 +371,21 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
 
     Rows with null doc_id stay.  Of rows that share the doc_id of a kept document one stays for each text.
     """
-    found = near_duplicates(docs)
-    keep = found.where("kept").select("doc_id").distinct()
-    twice = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs).where("doc_id is not null")
+    scratch = Scratch(docs.sparkSession)
+    per = scratch.save(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "per_id")
+    gone = per.where("not kept").select(F.col("doc_id").alias("id"))
+    many = gone.count()
+    if not many:
+        kept = docs
+    else:
+        # only rows that the bitmap of dropped ids lets by are shuffled to be looked up
+        bits, sent = _bitmap(gone, many)
+        placed = docs.withColumn("_place", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+        some = placed.where("doc_id is not null").mapInArrow(_split(sent, True), docs.schema)
+        kept = placed.where("doc_id is not null").mapInArrow(_split(sent, False), docs.schema).unionByName(docs.where("doc_id is null")).unionByName(some.join(gone, some.doc_id == gone.id, "left_anti"))
+    twice = per.where("kept and rows > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
     again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, "doc_id", "left_anti").unionByName(again)
