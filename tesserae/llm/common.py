@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ U64 = np.uint64
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = 0x9E3779B97F4A7C15
 #: A worker forgets its cached word hashes beyond this many words; results do not depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 
 class Scratch:
@@ -90,6 +91,14 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def trim() -> None:
+    """Give freed memory back to the system, so that reused workers do not keep what an earlier stage needed."""
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if free is not None:
+        free(0)
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most`` bytes; a longer text comes alone."""
     for b in batches:
@@ -100,6 +109,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + most, "right")) - 1)
             yield b.slice(at, end - at)
             at = end
+        trim()
 
 
 def binary_rows(rows: np.ndarray) -> pa.Array:

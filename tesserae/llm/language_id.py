@@ -28,7 +28,7 @@ SCALE, CUT, SWITCH, FOREIGN = 0.4, 8.0, 6.0, 30.0
 #: Least share of a language's letters that makes a script one of its own.
 OWN_SCRIPT = 0.01
 #: Bytes scored together, and bytes of the texts that walk together.
-CHUNK, WALK = 1 << 20, 12 << 20
+CHUNK, WALK = 1 << 19, 6 << 20
 #: First code points of scripts outside Latin, by Unicode block; "" where letters go back to Latin.
 SCRIPTS = [
     (0x000, ""), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x780, "Thaana"),
@@ -197,7 +197,7 @@ def _has_letter(text: bytes) -> bool:
     return any(65 <= c <= 90 or 97 <= c <= 122 for c in text[:64]) or any(c.isalpha() for c in text.decode())
 
 
-def _counts() :
+def _counts():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         scripts: dict[tuple[str, str], int] = {}

@@ -35,7 +35,7 @@ FREQUENT, SIZE_STEP = 1 << 18, 1.05
 #: log2 of the most bits in the broadcast filter of wanted ids (16 MB); a fuller filter only lets more texts by.
 MOST_BITS = 27
 #: Words of a batch that are hashed together.
-BATCH_WORDS = 600_000
+BATCH_WORDS = 400_000
 
 
 def shingle_set(text: bytes | None, hashes: WordHashes, k: int = 2) -> np.ndarray:
@@ -78,15 +78,13 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key.view(np.int64)
 
 
-_HASHES = WordHashes()
-
-
 def _sketched(k: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for b in slices(batches, "text", BATCH_WORDS * 6):
-            sets = [shingle_set(t, _HASHES, k) for t in text_bytes(b.column("text"))]
+            sets = [shingle_set(t, hashes, k) for t in text_bytes(b.column("text"))]
             n = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(n)
             f = np.zeros((len(sets), 2), np.int64)
@@ -107,10 +105,10 @@ def _sets(k: int, wanted):
     schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = wanted.value
+        bitmap, hashes = wanted.value, WordHashes()
         for b in slices(batches, "text"):
             b = b.filter(pa.array(_in_bitmap(bitmap, np.asarray(b.column("place")))))
-            items = [shingle_set(t, _HASHES, k).tobytes() for t in text_bytes(b.column("text"))]
+            items = [shingle_set(t, hashes, k).tobytes() for t in text_bytes(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.binary())], schema=schema)
 
     return run
