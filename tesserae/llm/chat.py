@@ -99,7 +99,9 @@ DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, los
 
 def _reading(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in DIGESTS.split(", ")]
+        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in DIGESTS.split(", ")])
+        names = schema.names
         now: list | None = None
 
         def closed(x: list) -> tuple:
@@ -122,9 +124,9 @@ def _reading(template: Template):
                 now[5] += len(segment)
                 now[6] = state
             if done:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done])
+                yield pa.RecordBatch.from_pylist([dict(zip(names, d, strict=True)) for d in done], schema=schema)
         if now is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, closed(now), strict=True))], schema=pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("valid", pa.bool_())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(names, closed(now), strict=True))], schema=schema)
 
     return run
 

@@ -216,7 +216,7 @@ def _counts():
         for lang, table in sums.items():
             for k in range(len(ORDERS)):
                 at = np.flatnonzero(table[k, :BUCKETS])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at)), "kind": pa.array([str(k)] * len(at)), "bucket": pa.array(at), "n": pa.array(table[k, at])})
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "kind": pa.array([str(k)] * len(at), pa.string()), "bucket": pa.array(at), "n": pa.array(table[k, at])})
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())], names=["lang", "kind", "bucket", "n"])
 

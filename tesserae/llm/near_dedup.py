@@ -274,6 +274,8 @@ class _Links:
         """Links among estimated pairs: each document's likeliest pair first, then those still apart."""
         likely = est.where(F.col("est") >= DROP)
         self.fetch(likely, tag)
+        if self.sets is None:  # no pair at all so far
+            return
         best = likely.groupBy("a").agg(F.max_by("b", F.struct("est", -F.col("b"))).alias("b"))
         self._take(self.verify(best, f"{tag}_best"), f"{tag}_c1")
         rest = self.scratch.save(self.apart(likely.join(best, ["a", "b"], "left_anti")).select("a", "b"), f"{tag}_rest")
