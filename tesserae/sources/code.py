@@ -18,7 +18,7 @@ def read_sources(spark: SparkSession, root: str, patterns: list[str] | None = No
     """(path, text) of the files under ``root`` whose names match; any store that Spark reads."""
     glob = "{" + ",".join(patterns or ["*.py"]) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def namespace(path: str) -> str:
