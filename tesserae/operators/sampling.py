@@ -75,3 +75,26 @@ def ordered_split(rows: DataFrame, key: str, ratio: float) -> DataFrame:
 
 def modulo_shard(rows: DataFrame, key: str, rank: int, world: int) -> DataFrame:
     return rows if rank < 0 else rows.where(F.pmod(F.col(key), F.lit(world)) == rank)
+
+
+def carved(rows: DataFrame, key: str, has_validation: bool, part: int = 500, share: float = 0.1) -> DataFrame:
+    """Adds split to the train rows of a data set, by the order of ``key``.
+
+    Where the set has its own validation rows, the first 1/part of the rows is train and the rest null; else the
+    first ``share`` is validation and the rest train.
+    """
+    if has_validation:
+        return _first(rows, key, (1 + 1e-12) / part, "train", None)
+    return _first(rows, key, share, "validation", "train")
+
+
+def _first(rows: DataFrame, key: str, ratio: float, name: str, other: str | None) -> DataFrame:
+    return ordered_split(rows, key, ratio).withColumn("split", F.when(F.col("is_train"), F.lit(name)).otherwise(F.lit(other))).drop("is_train")
+
+
+def repo_split(texts: DataFrame, key: str, text: str = "text", least_chars: int = 25000, train: float = 0.8, seed: int = 1) -> DataFrame:
+    """Adds is_train to ``texts`` by a hash of ``key``; a corpus with fewer characters is refused."""
+    chars = texts.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    if chars < least_chars:
+        raise ValueError(f"{chars} characters; at least {least_chars} are needed")
+    return texts.withColumn("is_train", scramble(F.col(key) + 1, seed) % 1000 < int(round(train * 1000)))

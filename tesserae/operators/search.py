@@ -61,3 +61,19 @@ def pad_by_cycling(ranked: DataFrame, n: int, by: str = "query") -> DataFrame:
     m = ranked.groupBy(by).agg(F.least(F.max("rank"), F.lit(n)).alias("m"))
     want = m.withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("rank", ((F.col("place") - 1) % F.col("m") + 1).cast("int"))
     return want.join(ranked, [by, "rank"]).select(by, "place", "idx")
+
+
+def knn_lm(lm: DataFrame, neighbours: DataFrame, weight: float = 0.25, temperature: float = 1.0, by: str = "query") -> DataFrame:
+    """(query, token, p) = weight * p_knn + (1 - weight) * p_lm.
+
+    ``lm`` has (query, token, p).  ``neighbours`` has (query, token, dist): p_knn is the softmax of
+    -dist / temperature over a query's neighbours, summed by token.  A query without neighbours keeps its p.
+    """
+    w = Window.partitionBy(by)
+    z = -F.col("dist") / temperature
+    e = neighbours.withColumn("e", F.exp(z - F.max(z).over(w)))
+    per = e.withColumn("p_knn", F.col("e") / F.sum("e").over(w)).groupBy(by, "token").agg(F.sum("p_knn").alias("p_knn"))
+    # tokens that only one side knows are there too
+    both = lm.select(by, "token", F.col("p").alias("p_lm")).join(per, [by, "token"], "full").join(neighbours.select(by).distinct().withColumn("met", F.lit(True)), by, "left")
+    p_lm, p_knn = F.coalesce("p_lm", F.lit(0.0)), F.coalesce("p_knn", F.lit(0.0))
+    return both.select(by, "token", F.when(F.col("met"), weight * p_knn + (1 - weight) * p_lm).otherwise(p_lm).alias("p"))

@@ -62,6 +62,20 @@ def seeded_search(s, d):
     return n.join(n.where("idx % 50 = 0").withColumnRenamed("idx", "query"), ["label", "file_id"]).select("query", "idx")
 
 
+@query(KNN_SQL.format(value="list_distance(a.v, b.v)", order="asc").replace("select query, idx, score, cast(rank as integer) as rank from (", ", kn as (select query, idx, score from (") + """), nb as (select query, n.label as token, exp(min(score) over (partition by query) - score) as e from kn join nodes n using (idx)),
+pk as (select query, token, sum(e) / any_value(t) as p from (select *, sum(e) over (partition by query) as t from nb) group by query, token), lm as (select q.idx as query, l.label as token, l.p from seeds q, (select label, count(*) / (select count(*) from nodes) as p from nodes group by label) l)
+select lm.query, lm.token, round(0.25 * coalesce(pk.p, 0) + 0.75 * lm.p, 6) as p from lm left join pk on pk.query = lm.query and pk.token = lm.token""")
+def knn_lm_interpolation(s, d):
+    """Labels as tokens: their shares are the language model, the nearest nodes' labels the datastore."""
+    n = nodes(s, d)
+    near = V.top_k(V.scores(_seed_queries(s, d), n, "euclidean"), 8, True).join(n.select("idx", F.col("label").alias("token")), "idx").select("query", "token", F.col("score").alias("dist"))
+    share = n.groupBy("label").count().collect()  # the ten labels
+    total = sum(r["count"] for r in share)
+    each = F.array(*[F.struct(F.lit(r.label).alias("token"), F.lit(r["count"] / total).alias("p")) for r in share])
+    lm = seeds(s, d).select(F.col("idx").alias("query"), F.inline(each))
+    return V.knn_lm(lm, near).withColumn("p", F.round("p", 6))
+
+
 COS = ", sc as (select a.idx as query, b.idx as idx, a.label as ql, b.label as bl, round(list_cosine_similarity(a.v, b.v), 6) as score from nodes a join nodes b on a.idx <> b.idx where a.idx % 50 = 0)"
 
 
@@ -312,6 +326,21 @@ def ordered_split(s, d):
     return M.ordered_split(table(s, d, "documents").select("doc_id"), "doc_id", 0.8)
 
 
+@query("select doc_id, case when row_number() over (order by doc_id) <= (select cast(floor(count(*) / 500) as bigint) from documents) then 'train' end as split from documents", False)
+def carve_head(s, d):
+    return M.carved(table(s, d, "documents").select("doc_id"), "doc_id", True)
+
+
+@query("select doc_id, case when row_number() over (order by doc_id) <= (select cast(floor(count(*) * 0.1) as bigint) from documents) then 'validation' else 'train' end as split from documents", False)
+def carve_validation(s, d):
+    return M.carved(table(s, d, "documents").select("doc_id"), "doc_id", False)
+
+
+@query("select doc_id, ((doc_id + 1) * 48271 + 16807) % 2147483647 % 1000 < 800 as is_train from documents", False)
+def repo_text_split(s, d):
+    return M.repo_split(table(s, d, "documents").select("doc_id", "text"), "doc_id").select("doc_id", "is_train")
+
+
 @query("select doc_id from documents where doc_id % 4 = 1", False)
 def modulo_shard(s, d):
     return M.modulo_shard(table(s, d, "documents").select("doc_id"), "doc_id", 1, 4)
@@ -718,6 +747,57 @@ def subgraph_features_h2(s, d):
     return H.link_features(_links(s, d), H.khop_sets(nodes(s, d), _feeds(s, d), 2), 2)
 
 
+INTER3 = KH + ", k3 as (select distinct feed.idx, k2.member from feed join k2 on k2.idx = feed.f)" + LINKS + "".join(f", i{i}{j} as (select u, v, count(*) as n from links join k{i} a on a.idx = u join k{j} b on b.idx = v and b.member = a.member group by u, v)" for i in (1, 2, 3) for j in (1, 2, 3)) + "".join(f", c{i} as (select idx, count(*) as n from k{i} group by idx)" for i in (1, 2, 3))
+INTER3 += ", j as (select l.u, l.v, " + ", ".join(f"coalesce(i{i}{j}.n, 0) as i{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3)) + ", " + ", ".join(f"{c}{i}.n as {c}{i}" for c in "ab" for i in (1, 2, 3)) + " from links l " + " ".join(f"left join i{i}{j} on i{i}{j}.u = l.u and i{i}{j}.v = l.v" for i in (1, 2, 3) for j in (1, 2, 3)) + " " + " ".join(f"left join c{i} {c}{i} on {c}{i}.idx = l.{e}" for c, e in (("a", "u"), ("b", "v")) for i in (1, 2, 3)) + ")"
+#: One step a feature, each on what the steps before it found.
+for _k, (_start, _less) in enumerate(H.FEATURES[3]):
+    INTER3 += f", s{_k} as (select *, {' - '.join([_start, *(f'f{x}' for x in _less)])} as f{_k} from {f's{_k - 1}' if _k else 'j'})"
+
+
+@query(INTER3 + " select u, v, " + ", ".join(f"greatest(f{k}, 0) as f{k}" for k in range(15)) + " from s14")
+def subgraph_features_h3(s, d):
+    return H.link_features(_links(s, d), materialised(H.khop_sets(nodes(s, d), _feeds(s, d), 3)), 3)
+
+
+@query(INTER3 + " select u, v, " + ", ".join("0 as f%d" % k if k in H.ZERO_ONE[3] else f"f{k}" for k in range(15)) + " from s14")
+def subgraph_features_h3_masked(s, d):
+    return H.link_features(_links(s, d), materialised(H.khop_sets(nodes(s, d), _feeds(s, d), 3)), 3, zero_one=False, floor=False)
+
+
+CARD = "case when {used} < 16 and 16 * ln(16.0::double / (16 - {used})) <= 10 then 16 * ln(16.0::double / (16 - {used})) else 0.673::double * 16 * 16 / {sum} end"
+
+
+@query(HLL + ", p as (select idx, count(*) as used, sum(power(2.0, -v)) as s from h1 group by idx) select idx, round(" + CARD.format(used="used", sum="(s + 16 - used)") + ", 6) as card from p")
+def hll_count_threshold(s, d):
+    """Linear counts up to the threshold of 16 registers, raw estimates beyond."""
+    r = H.dense(H.propagate(H.hll_rows(nodes(s, d), 4), _feeds(s, d), "max"), 16, "idx")
+    return r.select("idx", F.round(H.hll_count(F.col("values"), 4), 6).alias("card"))
+
+
+SKETCHED = MINH + HLL.replace(", feed as (select dst as idx, src as f from edges union select idx, idx from nodes)", "") + LINKS
+SKETCHED += ", m1 as (select feed.idx, pos, min(v) as v from feed join mh on mh.idx = feed.f group by feed.idx, pos), jc as (select u, l.v, count(*) filter (where a.v = b.v) / 16 as jac from links l join m1 a on a.idx = u join m1 b on b.idx = l.v and b.pos = a.pos group by u, l.v)"
+SKETCHED += ", one as (select idx, count(*) as used, sum(power(2.0, -v)) as s from h1 group by idx), cd as (select idx, " + CARD.format(used="used", sum="(s + 16 - used)") + " as card from one)"
+SKETCHED += ", un as (select u, v, pos, max(r) as r from (select l.u, l.v, h1.pos, h1.v as r from links l join h1 on h1.idx = l.u union all select l.u, l.v, h1.pos, h1.v from links l join h1 on h1.idx = l.v) group by u, v, pos), us as (select u, v, count(*) as used, sum(power(2.0, -r)) as s from un group by u, v), uc as (select u, v, " + CARD.format(used="used", sum="(s + 16 - used)") + " as card from us)"
+
+
+@query(SKETCHED + ", f as (select jc.u, jc.v, jac * uc.card as f0, a.card as a1, b.card as b1 from jc join uc on uc.u = jc.u and uc.v = jc.v join cd a on a.idx = jc.u join cd b on b.idx = jc.v) select u, v, round(greatest(f0, 0), 5) as f0, round(greatest(b1 - f0, 0), 5) as f1, round(greatest(a1 - f0, 0), 5) as f2 from f")
+def sketched_features_h1(s, d):
+    """Link features from sketches in place of sets."""
+    n, feeds = nodes(s, d), _feeds(s, d)
+    counts = H.sketched_counts(_links(s, d), H.hop_sketches(H.minhash_rows(n, 16), feeds, 1, "min"), H.hop_sketches(H.hll_rows(n, 4), feeds, 1, "max"), 1, 16, 4)
+    return H.features(counts, 1).select("u", "v", *[F.round(f"f{k}", 5).alias(f"f{k}") for k in range(3)])
+
+
+@query()
+def sketched_features_h3(s, d):
+    """64-bit sketches of three hops, with the simulated bias taken off."""
+    n, feeds = nodes(s, d), materialised(_feeds(s, d))
+    signs = n.select("idx", F.posexplode(H.minhash_64(F.col("idx"), 64)).alias("pos", "v"))
+    regs = n.select("idx", H.register_64(F.col("idx"), 6).alias("r")).select("idx", "r.pos", "r.v")
+    counts = H.sketched_counts(_links(s, d), H.hop_sketches(signs, feeds, 3, "min"), H.hop_sketches(regs, feeds, 3, "max"), 3, 64, 6, H.simulated_bias(6))
+    return H.features(materialised(counts), 3)
+
+
 FEAT = ", x as (select idx, k - 1 as pos, v[k] as x from nodes, (select unnest(range(1, 9)) as k)), e as (select distinct src, dst from edges), ag as (select e.dst as idx, pos, round(avg(x), 6) as mean, min(x) as mn, max(x) as mx, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0.0) + 1e-5), 5) as std, count(*) as deg from e join x on x.idx = e.src group by e.dst, pos)"
 
 

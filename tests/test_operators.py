@@ -1,5 +1,8 @@
 """Small literal cases of the graph retrieval operators."""
 
+import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from tesserae.operators import expand as X
 from tesserae.operators import resolve as J
 from tesserae.operators import sampling as M
 from tesserae.operators import search as V
+from tesserae.operators import sketch as H
 from tesserae.operators import subgraph as S
 from tesserae.sources import code as P
 from tesserae.sources import records as R
@@ -117,3 +121,56 @@ def test_split_and_records_round_trip(spark, tmp_path):
     assert got.where("is_train").count() == 8
     R.write_split(got, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/dev")).count() == 2
+
+
+def test_sketches_of_64_bits_follow_their_formulas(spark):
+    d = spark.createDataFrame([(k,) for k in range(40)], "idx long")
+    got = d.select("idx", H.minhash_64(F.col("idx"), 5).alias("m"), H.register_64(F.col("idx"), 4).alias("r")).collect()
+    a, b = H.permutations(5)
+    for r in got:
+        h = int(pd.util.hash_array(np.array([r.idx + 1]))[0])
+        assert r.m == [(int(x) * h + int(y)) % 2**64 % (2**61 - 1) & (2**32 - 1) for x, y in zip(a, b, strict=True)]
+        assert r.r.pos == h % 16 and r.r.v == 61 - int(np.ceil(np.log2(float((h >> 4) + 1))))
+
+
+def test_bias_makes_counts_better(spark):
+    gen, bias, errors = np.random.default_rng(5), H.simulated_bias(6), []
+    for n in (60, 90):  # beyond the linear counts, where raw estimates are too high
+        sets = [[0] * 64 for _ in range(200)]
+        for regs in sets:
+            for at, v in zip(gen.integers(0, 64, n), gen.geometric(0.5, n), strict=True):
+                regs[at] = max(regs[at], int(v))
+        d = spark.createDataFrame([(x,) for x in sets], "r array<int>")
+        plain, refined = d.select(F.avg(H.hll_count(F.col("r"), 6)), F.avg(H.hll_count(F.col("r"), 6, bias))).first()
+        errors.append((abs(plain - n), abs(refined - n)))
+    assert sum(r for _, r in errors) < sum(p for p, _ in errors) and all(r < 3 for _, r in errors)
+    empty = spark.createDataFrame([([0] * 64,)], "r array<int>")
+    assert empty.select(H.hll_count(F.col("r"), 6)).first()[0] == 0
+
+
+def test_three_hop_features_of_a_path(spark):
+    n = spark.createDataFrame([(k,) for k in range(4)], "idx long")
+    feeds = H.neighbourhoods(n, edges(spark, [(k, k + 1, 0) for k in range(3)] + [(k + 1, k, 0) for k in range(3)]))
+    links = spark.createDataFrame([(0, 1)], "u long, v long")
+    got = H.link_features(links, H.khop_sets(n, feeds, 3), 3).first()
+    assert [got[f"f{k}"] for k in range(15)] == [2, 0, 1, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
+    masked = H.link_features(links, H.khop_sets(n, feeds, 3), 3, zero_one=False).first()
+    assert [masked[f"f{k}"] for k in (4, 5, 11, 12)] == [0] * 4
+
+
+def test_knn_lm(spark):
+    lm = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.5), (2, 7, 1.0)], "query long, token int, p double")
+    near = spark.createDataFrame([(1, 7, 2.0), (1, 7, 2.0), (1, 9, 2.0)], "query long, token int, dist double")
+    got = {(r.query, r.token): r.p for r in V.knn_lm(lm, near, 0.3).collect()}
+    assert got == pytest.approx({(1, 7): 0.55, (1, 8): 0.35, (1, 9): 0.1, (2, 7): 1.0})
+
+
+def test_carving_and_refusal(spark):
+    d = spark.range(0, 1500).withColumnRenamed("id", "k").withColumn("text", F.lit("abc"))
+    assert {r.split: r["count"] for r in M.carved(d, "k", True).groupBy("split").count().collect()} == {"train": 3, None: 1497}
+    assert {r.split: r["count"] for r in M.carved(d, "k", False).groupBy("split").count().collect()} == {"validation": 150, "train": 1350}
+    assert M.repo_split(d, "k", least_chars=4500).where("is_train").count() == pytest.approx(1200, abs=60)
+    with pytest.raises(ValueError):
+        M.repo_split(d, "k", least_chars=4501)
+    with pytest.raises(ValueError):
+        M.repo_split(d.limit(0), "k")
