@@ -153,7 +153,7 @@ def test_three_hop_features_of_a_path(spark):
     feeds = H.neighbourhoods(n, edges(spark, [(k, k + 1, 0) for k in range(3)] + [(k + 1, k, 0) for k in range(3)]))
     links = spark.createDataFrame([(0, 1)], "u long, v long")
     got = H.link_features(links, H.khop_sets(n, feeds, 3), 3).first()
-    assert [got[f"f{k}"] for k in range(15)] == [2, 0, 1, 0, 0, 0, 0, 1, 0, 1, 0, 0, 0, 0, 0]
+    assert [got[f"f{k}"] for k in range(15)] == [2, 1, 0, 0, 0, 0, 1] + [0] * 8
     masked = H.link_features(links, H.khop_sets(n, feeds, 3), 3, zero_one=False).first()
     assert [masked[f"f{k}"] for k in (4, 5, 11, 12)] == [0] * 4
 
