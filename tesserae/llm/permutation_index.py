@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors of a bounded sample are the pivots.  A vector is represented by its ``PREFIX`` nearest pivots
+``PIVOTS`` vectors of a bounded sample, far apart, are the pivots.  A vector is represented by its ``PREFIX`` nearest pivots
 in order, and posted under each of them with its place there.  A block's inverted files are arrays over its
 vectors, one a pivot (0: not posted), since a vector is posted under half of all pivots.  The footrule distance of
 two such prefixes is a constant minus twice the sum, over shared pivots, of PREFIX - max(place, place), so
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .vectors import best_of, grid, packed, ranked, usable
 
-#: Pivots; pivots in a vector's prefix; share of a block that is reranked, and at least so many.
-PIVOTS, PREFIX, SHARE, LEAST = 128, 64, 0.12, 400
+#: Vectors of the sample; pivots, chosen from it far apart; pivots in a vector's prefix; share of a block that is
+#: reranked, and at least so many.
+SAMPLE, PIVOTS, PREFIX, SHARE, LEAST = 2048, 128, 64, 0.15, 400
 BLOCK, CHUNK = 8192, 512
 
 
@@ -27,6 +28,22 @@ def lifted(m: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([m, np.sqrt(np.maximum(longest**2 - (m * m).sum(1), 0))[:, None]])
 
 
+def spread(sample: np.ndarray, many: int = PIVOTS) -> np.ndarray:
+    """Up to ``many`` different rows of ``sample``, each the farthest from those before it.
+
+    Copies and near copies would be one pivot many times, and outweigh the others in every distance.
+    """
+    chosen = [0]
+    near = sample @ sample[0]
+    same = (sample == sample[0]).all(1)
+    while len(chosen) < many and not same.all():
+        at = int(np.where(same, np.inf, near).argmin())
+        chosen.append(at)
+        near = np.maximum(near, sample @ sample[at])
+        same |= (sample == sample[at]).all(1)
+    return sample[chosen]
+
+
 def weights(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """PREFIX - place of each pivot in each vector's prefix, 0 outside it."""
     o = np.argsort(-(m @ pivots.T), axis=1, kind="stable")[:, :prefix]
@@ -48,7 +65,9 @@ def _cell(pivots: np.ndarray, longest: float, width: int, k: int, share: float,
             shared = np.zeros(len(x), np.int16)
             for p in np.flatnonzero(wq[i]):
                 shared += np.minimum(posted[p], wq[i, p])
-            near = np.argpartition(-shared, take - 1)[:take] if take < len(x) else np.arange(len(x))
+            # ids ascend within a block, so among vectors at the same distance the smaller ids come first
+            order = np.arange(len(x)) - shared.astype(np.int64) * len(x)
+            near = np.argpartition(order, take - 1)[:take] if take < len(x) else np.arange(len(x))
             near = near[x_ids[near] != q_ids[i]]
             score = x[near] @ q[i]
             best = near[best_of(np.zeros(len(near), np.int8), score, x_ids[near], k)]
@@ -62,8 +81,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     """Each query's ``k`` nearest found among the rows of ``vectors`` with another id, by largest inner product.
 
     ``queries`` has the same columns.  Returns query_id, rank (from 1), vec_id, score (the inner product of the
-    original vectors, in double precision); ties go to the smaller vec_id.  The pivots are a sample of
-    ``PIVOTS`` vectors; every vector is indexed.  Cases: null ids and vectors that are null, zero, empty or hold
+    original vectors, in double precision); ties go to the smaller vec_id.  The pivots are
+    ``PIVOTS`` different vectors of a sample of ``SAMPLE``; every vector is indexed.  Cases: null ids and vectors that are null, zero, empty or hold
     a null or non-finite component take no part; vectors of unequal size are filled with zeros; a repeated id
     counts once; other columns are ignored; fewer candidates give fewer rows; an empty table gives no rows.
     """
@@ -78,8 +97,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if not n or not nq:
         return ranked(spark.createDataFrame([], schema), k)
     width, longest = max(width, q_width), float(np.sqrt(longest))
-    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).collect()
-    pivots = lifted(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in sample]), longest)
+    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    pivots = spread(lifted(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in sample]), longest))
     n_blocks, n_chunks = -(-n // BLOCK), -(-nq // CHUNK)
     blocks = scratch.save(packed(x, n_blocks, width), "blocks")
     names = sorted(r.block for r in blocks.select("block").collect())

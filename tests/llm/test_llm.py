@@ -194,6 +194,26 @@ def test_permutation_index_recall(spark):
     assert hit >= 0.9 * len(got)
 
 
+def test_permutation_index_recall_beside_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 32))
+    x[:1000] = x[0] + 0.02 * rng.normal(size=(1000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[2000:2100] = x[2000]  # exact copies: the smaller ids come first
+    e = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    got = permutation_index.nearest(e, e.where("vec_id % 20 = 0"), 20, 0.15, 100).toPandas().groupby("query_id").vec_id.apply(list)
+    assert got[2040] == list(range(2000, 2020))
+    lone = [q for q in range(1000, 3000, 20) if not 2000 <= q < 2100]
+    best = {q: set(np.lexsort((np.arange(3000), -np.where(np.arange(3000) == q, -9, x @ x[q])))[:20]) for q in lone}
+    assert sum(len(best[q] & set(got[q])) for q in lone) >= 0.9 * 20 * len(lone)
+
+
+def test_spread_pivots_differ():
+    rng = np.random.default_rng(9)
+    a = rng.normal(size=(50, 4))
+    assert len(np.unique(permutation_index.spread(np.concatenate([a, a, a[:1].repeat(99, 0)]), 60), axis=0)) == 50
+
+
 def test_url_rules_and_parts(spark):
     urls = ["http://a.Example.NET/en/1", "http://example.net/de/", "http://x.example.com/de/3?q", "https://w.org/fr/#x", "http://fakenet/", "http://a.net", None, "no scheme", "s://H?/a", "http://example.net/en/1"]
     pages = spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, html string, template string")
