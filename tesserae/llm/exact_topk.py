@@ -21,7 +21,7 @@ from .common import Scratch
 from .vectors import best_of, grid, in_partitions, matrix, packed, ranked, usable
 
 #: Vectors of a packed block; queries of a chunk; vectors bounded together; rotated coordinates summed first.
-BLOCK, CHUNK, STRIP, HEAD = 8192, 512, 1024, 24
+BLOCK, CHUNK, STRIP, HEAD = 8192, 2048, 1024, 24
 NO_FLOOR = -1e300
 
 
@@ -100,19 +100,24 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
     norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
     by_length = x.repartitionByRange(max(1, -(-n // BLOCK)), F.desc(norm), "vec_id").sortWithinPartitions(F.desc(norm), "vec_id")
     blocks = scratch.save(in_partitions(by_length, width, BLOCK), "blocks")
-    names = sorted(r.block for r in blocks.select("block").collect())
+    # a block's number is its partition's, shifted, plus its place there; the first one has the longest vectors
+    lead, last, most = blocks.agg(F.min("block"), F.max("block"), F.max(F.col("block").bitwiseAND((1 << 32) - 1))).first()
+    long = lambda i: F.lit(i).cast("long")
+    numbers = F.flatten(F.transform(F.sequence(long(0), long(last >> 32)), lambda p: F.transform(F.sequence(long(0), long(most)), lambda i: F.shiftleft(p, 32) + i)))
     n_chunks = -(-nq // CHUNK)
     empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.int64}
 
-    def pass_(floors: DataFrame | None, some: list[int]) -> DataFrame:
+    def pass_(floors: DataFrame | None) -> DataFrame:
         wide = q.withColumn("floor", F.lit(NO_FLOOR)) if floors is None else q.join(floors, q.vec_id == floors.query_id, "left").drop("query_id").fillna({"floor": NO_FLOOR})
         # the floor rides along behind the vector's components
         filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")), F.array("floor"))
-        chunks = scratch.save(packed(wide.select("vec_id", filled.alias("v")), n_chunks, width + 1), f"chunks_{len(some)}_{floors is None}")
-        return grid(blocks.where(F.col("block").isin(some)), some, chunks, n_chunks, _cell(rotation, k), schema, empty)
+        chunks = scratch.save(packed(wide.select("vec_id", filled.alias("v")), n_chunks, width + 1), f"chunks_{floors is None}")
+        which = F.array(long(lead)) if floors is None else F.array_remove(numbers, lead)
+        some = blocks.where(F.col("block") == lead if floors is None else F.col("block") != lead)
+        return grid(some, which, chunks, n_chunks, _cell(rotation, k), schema, empty)
 
-    first = scratch.save(pass_(None, names[:1]), "first")
-    if len(names) == 1:
+    first = scratch.save(pass_(None), "first")
+    if last == lead:
         return ranked(first, k)
     floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("many")).where(F.col("many") >= k).drop("many")
-    return ranked(first.unionByName(scratch.save(pass_(floors, names[1:]), "others")), k)
+    return ranked(first.unionByName(scratch.save(pass_(floors), "others")), k)

@@ -20,7 +20,7 @@ from .vectors import best_of, grid, packed, ranked, usable
 #: Vectors of the sample; pivots, chosen from it far apart; pivots in a vector's prefix; share of a block that is
 #: reranked, and at least so many.
 SAMPLE, PIVOTS, PREFIX, SHARE, LEAST = 2048, 128, 64, 0.15, 400
-BLOCK, CHUNK = 8192, 512
+BLOCK, CHUNK = 8192, 2048
 
 
 def lifted(m: np.ndarray, longest: float) -> np.ndarray:
@@ -101,7 +101,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     pivots = spread(lifted(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in sample]), longest))
     n_blocks, n_chunks = -(-n // BLOCK), -(-nq // CHUNK)
     blocks = scratch.save(packed(x, n_blocks, width), "blocks")
-    names = sorted(r.block for r in blocks.select("block").collect())
+    names = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
     chunks = scratch.save(packed(q, n_chunks, width), "chunks")
     empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
     return ranked(scratch.save(grid(blocks, names, chunks, n_chunks, _cell(pivots, longest, width, k, share, least), schema, empty), "found"), k)

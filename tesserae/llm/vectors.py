@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PACKED = "block long, ids binary, data binary"
@@ -80,14 +80,14 @@ def in_partitions(rows: DataFrame, width: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, PACKED)
 
 
-def grid(blocks: DataFrame, names: list[int], chunks: DataFrame, n_chunks: int, cell: Callable[[np.ndarray, bytes, np.ndarray, bytes], dict[str, np.ndarray]], schema: str, empty: dict[str, np.dtype]) -> DataFrame:
-    """``cell(block ids, block data, chunk ids, chunk data)`` for each block in ``names`` and each chunk.
+def grid(blocks: DataFrame, names: Column, chunks: DataFrame, n_chunks: int, cell: Callable[[np.ndarray, bytes, np.ndarray, bytes], dict[str, np.ndarray]], schema: str, empty: dict[str, np.dtype]) -> DataFrame:
+    """``cell(block ids, block data, chunk ids, chunk data)`` for each block and each chunk.
 
+    ``names`` is an expression for the array of the blocks' numbers; those that no block has cost a chunk's copy.
     ``chunks`` has its numbers 0 .. n_chunks - 1 in ``block``.  Only packed rows are copied along the grid.
     """
-    numbers = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     left = blocks.select(F.col("block").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("c"), F.lit(0).alias("side"), "ids", "data")
-    right = chunks.select(F.explode(numbers(names)).alias("b"), F.col("block").alias("c"), F.lit(1).alias("side"), "ids", "data")
+    right = chunks.select(F.explode(names).alias("b"), F.col("block").alias("c"), F.lit(1).alias("side"), "ids", "data")
 
     def run(t: pa.Table) -> pa.Table:
         rows = {r["side"]: r for r in t.select(["side", "ids", "data"]).to_pylist()}
