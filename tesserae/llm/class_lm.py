@@ -193,7 +193,8 @@ def _scoring(sent):
 
 
 def score_texts(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """A row for each row of ``docs`` (doc_id, text): n_tokens, n_known, train_tokens, base_score, score, held_out.
+    """A row for each row of ``docs`` (doc_id, text): n_tokens, n_known, train_tokens, base_score, score, held_out,
+    perplexity (10 to the score a token, negated).
 
     The model learns from all rows whose crc32(doc_id) modulo 5 is not 1.  A text's tokens are its words and one
     end.  Cases: a null or empty text is one end; a null doc_id is learned from and not held out; repeated rows
@@ -266,4 +267,5 @@ def score_texts(docs: DataFrame, share: float = SHARE) -> DataFrame:
     return done.join(looked, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") - ends + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (logged - F.col("n_tokens") * float(np.log10(whole))).alias("base_score"), (logged + F.col("terms")).alias("score"),
+        F.pow(F.lit(10.0), -(logged + F.col("terms")) / F.col("n_tokens")).alias("perplexity"),
     )
