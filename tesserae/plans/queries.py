@@ -621,7 +621,7 @@ SETS = "with t as (select item_id, list_distinct(string_split(lower(text), ' '))
 
 
 def _pairs(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.substring("text", 1, 60).alias("s"))
+    b = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.col("text").alias("s"))
     return b.select(F.col("item_id").alias("a"), F.col("w").alias("wa"), F.col("s").alias("sa"), (F.col("item_id") % 8).alias("m")).join(b.select(F.col("item_id").alias("b"), F.col("w").alias("wb"), F.col("s").alias("sb"), (F.col("item_id") % 8).alias("m")), "m").where("a < b")
 
 
@@ -643,8 +643,10 @@ def format_prompts(s, d):
 IDS = "with t as (select doc_id, list_transform(string_split(left(text, 4000), ' '), lambda x: cast(length(x) as int)) as ids from documents)"
 
 
-def _ids(s, d):
-    return table(s, d, "documents").select("doc_id", F.transform(F.split(F.substring("text", 1, 4000), " "), F.length).alias("ids"))
+def _ids(s, d, whole=False):
+    """Word lengths; of the first 4000 characters, as the SQL has it, or of the ``whole`` text."""
+    text = F.col("text") if whole else F.substring("text", 1, 4000)
+    return table(s, d, "documents").select("doc_id", F.transform(F.split(text, " "), F.length).alias("ids"))
 
 
 @query(IDS + " select doc_id, list_concat(ids[1:64], list_transform(range(0, greatest(64 - len(ids), 0)), lambda x: 0)) as ids, list_concat(ids[1:64], list_transform(range(0, greatest(64 - len(ids), 0)), lambda x: -100)) as labels from t", False)
@@ -652,6 +654,11 @@ def pad_mask(s, d):
     return _ids(s, d).select("doc_id", T.padded(F.col("ids"), 64, 0).alias("ids"), T.padded(F.col("ids"), 64, -100).alias("labels"))
 
 
+@query()
+def pad_mask_whole(s, d):
+    return _ids(s, d, True).select("doc_id", T.padded(F.col("ids"), 64, 0).alias("ids"), T.padded(F.col("ids"), 64, -100).alias("labels"))
+
+
 WIN = IDS + ", l as (select doc_id, ids, case when len(ids) >= 64 then len(ids) // 64 * 64 else len(ids) end as n from t), i as (select *, unnest(range(0, n, 32)) as i from l), w as (select doc_id, i, ids[greatest(i + 32 - 64, 0) + 1 : least(i + 32, n)] as x, least(i + 32, n) - i as fresh from i)"
 
 
@@ -660,12 +667,23 @@ def token_windows(s, d):
     return _ids(s, d).select("doc_id", F.posexplode(T.windows(F.col("ids"), 64, 32, 0)).alias("k", "w")).select("doc_id", (F.col("k") * 32).cast("long").alias("i"), "w.input_ids", "w.labels")
 
 
+@query()
+def token_windows_whole(s, d):
+    return _ids(s, d, True).select("doc_id", F.posexplode(T.windows(F.col("ids"), 64, 32, 0)).alias("k", "w")).select("doc_id", (F.col("k") * 32).cast("long").alias("i"), "w.input_ids", "w.labels")
+
+
 @query(WIN + " select doc_id, cast(sum(case when i = 0 then fresh - 1 else fresh end) as bigint) as n from w group by doc_id", False)
 def window_token_counts(s, d):
     one = _ids(s, d).select("doc_id", F.explode(T.windows(F.col("ids"), 64, 32, 0)).alias("w"))
     return one.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.slice("w.labels", 2, 64), lambda x: x != -100))).alias("n"))
 
 
+@query()
+def window_token_counts_whole(s, d):
+    one = _ids(s, d, True).select("doc_id", F.explode(T.windows(F.col("ids"), 64, 32, 0)).alias("w"))
+    return one.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.slice("w.labels", 2, 64), lambda x: x != -100))).alias("n"))
+
+
 @query("select event_type, round(exp(least(avg(value) / 100, 700)), 4) as ppl, round(avg(value), 4) as loss from events group by event_type", False)
 def perplexity(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.exp(F.least(F.avg("value") / 100, F.lit(700.0))), 4).alias("ppl"), F.round(F.avg("value"), 4).alias("loss"))
