@@ -130,6 +130,13 @@ def rerank_pad_contexts(s, d):
     return V.pad_by_cycling(V.top_k(same, 10, False), 10)
 
 
+@query()
+def rerank_pad_contexts_whole(s, d):
+    lab = nodes(s, d).select("idx", "label")
+    same = _cos(s, d).join(lab.withColumnRenamed("label", "bl"), "idx").join(lab.select(F.col("idx").alias("query"), F.col("label").alias("ql")), "query").where("ql = bl").select("query", "idx", "score")
+    return V.pad_by_cycling(V.top_k(same, 10, False), 10)
+
+
 @query("select item_id, list(doc_id order by n_chars desc, doc_id)[1:5] as top from benchmark join documents on doc_id % 40 = item_id % 40 group by item_id", False)
 def passages_sorted_topn(s, d):
     b = table(s, d, "benchmark").select("item_id", (F.col("item_id") % 40).alias("m"))
@@ -400,6 +407,12 @@ def fuzzy_suffix_first(s, d):
     return J.suffix_first(nodes(s, d).select(F.col("name").alias("node")), nm)
 
 
+@query()
+def fuzzy_suffix_first_whole(s, d):
+    nm = nodes(s, d).select("idx", F.concat(F.lit("C"), (F.col("idx") % 7).cast("string"), F.lit(".m"), (F.col("idx") % 13).cast("string")).alias("name"))
+    return J.suffix_first(nodes(s, d).select(F.col("name").alias("node")), nm)
+
+
 IMP = ", imp as (select distinct concat('pkg', idx % 5, '.C', idx % 7, '.m', idx % 13) as imp from nodes), nm as (select idx, case when idx % 2 = 0 then name else concat('C', idx % 7, '.m', idx % 3) end as name from nodes)"
 TWO = ", hit as (select imp, 0 as p, min(idx) as idx from imp join nm on contains(imp, name) group by imp union all select imp, 1, min(idx) from imp join nm on list_extract(string_split(imp, '.'), -1) = list_extract(string_split(name, '.'), -1) where name not like '%.py' group by imp), best as (select imp, idx from (select *, row_number() over (partition by imp order by p, idx) as r from hit) where r = 1)"
 
@@ -557,6 +570,12 @@ def json_edges(s, d):
     return e.select("user_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
+@query()
+def json_edges_whole(s, d):
+    e = table(s, d, "events")
+    return e.select("user_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
 @query("select item_id as k, case when item_id % 3 = 0 then item_id * 10 else item_id end as id, case when item_id % 2 = 0 then 0.5 else 1.0 / (item_id + 1) end as score from benchmark where item_id % 4 = 1", False)
 def fid_load_defaults(s, d):
     k = F.col("item_id")
@@ -572,6 +591,11 @@ def tokenize(s, d):
     return table(s, d, "documents").where("doc_id % 5 = 0").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
+@query()
+def tokenize_whole(s, d):
+    return table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
 @query(f"with t as (select doc_id, {TOK} as t, text from documents) select b.item_id, t.doc_id from benchmark b join t on t.doc_id % 40 = b.item_id % 40 where contains(' ' || array_to_string(t.t, ' ') || ' ', ' ' || array_to_string(list_slice({TOK.replace('text', 'b.text')}, 1, 3), ' ') || ' ')", False)
 def has_answer(s, d):
     b = table(s, d, "benchmark").select("item_id", F.array(F.slice(T.tokens(F.col("text")), 1, 3)).alias("answers"), (F.col("item_id") % 40).alias("m"))
@@ -579,6 +603,17 @@ def has_answer(s, d):
     return b.join(t, "m").where(T.has_answer(F.col("answers"), F.col("t"))).select("item_id", "doc_id")
 
 
+@query()
+def has_answer_whole(s, d):
+    """All items with all documents: runs of as many tokens as an answer has are exploded into a hash join."""
+    b = table(s, d, "benchmark").select("item_id", F.slice(T.tokens(F.col("text")), 1, 3).alias("answer")).withColumn("m", F.size("answer"))
+    t = table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    runs = t.where("size(t) > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.size("t"), F.lit(3)))).alias("m"), "t").where("m <= size(t)")
+    runs = runs.select("doc_id", "m", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("m") + 1), lambda i: F.slice("t", i, F.col("m")))).alias("answer"))
+    empty = b.where("m = 0").select("item_id").crossJoin(t.select("doc_id"))
+    return runs.join(F.broadcast(b.where("m > 0")), ["m", "answer"]).select("item_id", "doc_id").distinct().unionByName(empty)
+
+
 @query("with h as (select b.item_id, min(d.doc_id // 40) as pos from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 and contains(d.text, left(b.text, 12)) group by b.item_id), k as (select unnest([1, 3, 5, 10, 20]) as k) select k, count(pos) filter (where pos < k) as hits from k cross join h group by k", False)
 def topk_hits(s, d):
     b = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("a"), (F.col("item_id") % 40).alias("m"))
@@ -620,9 +655,12 @@ def retriever_scores(s, d):
 SETS = "with t as (select item_id, list_distinct(string_split(lower(text), ' ')) as w, left(text, 60) as s from benchmark)"
 
 
-def _pairs(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.col("text").alias("s"))
-    return b.select(F.col("item_id").alias("a"), F.col("w").alias("wa"), F.col("s").alias("sa"), (F.col("item_id") % 8).alias("m")).join(b.select(F.col("item_id").alias("b"), F.col("w").alias("wb"), F.col("s").alias("sb"), (F.col("item_id") % 8).alias("m")), "m").where("a < b")
+def _pairs(s, d, whole=False):
+    """Pairs of items; of equal item_id modulo 8, as the SQL has it, or ``whole``: all."""
+    m = F.lit(0) if whole else F.col("item_id") % 8
+    b = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.col("text").alias("s"), m.alias("m"))
+    x, y = (b.select(F.col("item_id").alias(k), F.col("w").alias(f"w{k}"), F.col("s").alias(f"s{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
+    return x.join(y, F.col("a") < F.col("b")) if whole else x.join(y, F.col("ma") == F.col("mb")).where("a < b")
 
 
 @query(SETS + " select x.item_id as a, y.item_id as b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) as jac from t x join t y on x.item_id % 8 = y.item_id % 8 and x.item_id < y.item_id", False)
@@ -630,9 +668,14 @@ def jaccard_lexical(s, d):
     return _pairs(s, d).select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jac"))
 
 
+@query()
+def jaccard_lexical_whole(s, d):
+    return _pairs(s, d, True).select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jac"))
+
+
 @query()
 def edit_similarity(s, d):
-    return _pairs(s, d).select("a", "b", F.round(T.edit_similarity(F.col("sa"), F.col("sb")), 6).alias("sim"))
+    return _pairs(s, d, True).select("a", "b", F.round(T.edit_similarity(F.col("sa"), F.col("sb")), 6).alias("sim"))
 
 
 @query("select item_id, 'code: ' || left(text, 40) as code, 'context: ' || right(text, 20) || ' </s>' as context from benchmark", False)
@@ -824,21 +867,41 @@ def pna_aggregate(s, d):
     return N.aggregate_neighbours(N.features(nodes(s, d), 8), edges(s, d))
 
 
+@query()
+def pna_aggregate_whole(s, d):
+    return N.aggregate_neighbours(N.features(nodes(s, d), 64), edges(s, d))
+
+
 @query(FEAT + " select x.idx, cast(x.pos as int) as pos, round(greatest(x.x + coalesce(ag.mx, 0.0), 0.0), 6) as h from x left join ag on ag.idx = x.idx and ag.pos = x.pos")
 def sage_max_layer(s, d):
     return N.sage_max(N.features(nodes(s, d), 8), edges(s, d))
 
 
+@query()
+def sage_max_layer_whole(s, d):
+    return N.sage_max(N.features(nodes(s, d), 64), edges(s, d))
+
+
 @query(FEAT + ", l as (select src, dst from e union select idx, idx from nodes), dg as (select dst as n, count(*) as d from l group by dst) select l.dst as idx, cast(pos as int) as pos, round(sum(x / sqrt(a.d * b.d)), 5) as h from l join dg a on a.n = l.src join dg b on b.n = l.dst join x on x.idx = l.src group by l.dst, pos")
 def gcn_norm_layer(s, d):
     return N.gcn(N.features(nodes(s, d), 8), edges(s, d))
 
 
+@query()
+def gcn_norm_layer_whole(s, d):
+    return N.gcn(N.features(nodes(s, d), 64), edges(s, d))
+
+
 @query(FEAT + " select x.idx, cast(pos as int) as pos, round(x + sum(x) over (partition by file_id, pos), 5) as h from x join nodes using (idx)")
 def virtual_node(s, d):
     return N.virtual_node(N.features(nodes(s, d), 8), nodes(s, d).select("idx", F.col("file_id").alias("graph")))
 
 
+@query()
+def virtual_node_whole(s, d):
+    return N.virtual_node(N.features(nodes(s, d), 64), nodes(s, d).select("idx", F.col("file_id").alias("graph")))
+
+
 UP1 = ", mem as (select idx as sg, idx from nodes union select dst, src from edges)"
 
 
@@ -848,6 +911,12 @@ def gnnak_pool(s, d):
     return N.kernel_pool(N.features(nodes(s, d), 8), members)
 
 
+@query()
+def gnnak_pool_whole(s, d):
+    members = H.neighbourhoods(nodes(s, d), edges(s, d)).select(F.col("idx").alias("sg"), F.col("from").alias("idx"))
+    return N.kernel_pool(N.features(nodes(s, d), 64), members)
+
+
 @query(LINKS + " select u, l.v, round(list_cosine_similarity(a.v, b.v), 6) as score from links l join nodes a on a.idx = u join nodes b on b.idx = l.v")
 def link_scores(s, d):
     return N.link_scores(_links(s, d), nodes(s, d))

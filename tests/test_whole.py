@@ -1,5 +1,9 @@
 """Queries over whole tables against brute force, where the SQL of a query has a cut."""
 
+import json
+import re
+
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -50,3 +54,36 @@ def test_windows_reach_the_end_of_long_texts(spark, texts):
     assert {r.doc_id: r.n for r in rows(spark, "window_token_counts_whole")} == {i: sum(y != -100 for (d, _), (_, ys) in want.items() if d == i for y in ys) - 1 for i in texts}
     pad = lambda t, fill: ([len(w) for w in t.split(" ")] + [fill] * 64)[:64]
     assert {r.doc_id: (r.ids, r.labels) for r in rows(spark, "pad_mask_whole")} == {i: (pad(t, 0), pad(t, -100)) for i, t in texts.items()}
+
+
+def test_pairs_and_answers_over_all_ids(spark, texts):
+    b = items(spark)
+    pairs = {(x, y) for x in b for y in b if x < y}
+    assert {(r.a, r.b) for r in rows(spark, "edit_similarity")} == pairs
+    bags = {i: set(t.lower().split(" ")) for i, t in b.items()}
+    assert {(r.a, r.b): r.jac for r in rows(spark, "jaccard_lexical_whole")} == pytest.approx({(x, y): len(bags[x] & bags[y]) / len(bags[x] | bags[y]) for x, y in pairs}, abs=1e-6)
+    tokens = {r.doc_id: r.tokens for r in rows(spark, "tokenize_whole")}
+    some = {r.doc_id: r.tokens for r in rows(spark, "tokenize")}
+    assert set(tokens) == set(texts) and all(tokens[i] == x for i, x in some.items())
+    joined = {i: f" {' '.join(x)} " for i, x in tokens.items()}
+    heads = {i: " ".join(re.findall(r"\w+|[^\w\s]", t.lower())[:3]) for i, t in b.items()}
+    want = sorted((i, j) for i, h in heads.items() for j, x in joined.items() if f" {h} " in x)
+    assert sorted(map(tuple, rows(spark, "has_answer_whole"))) == want and {tuple(r) for r in rows(spark, "has_answer")} < set(want)
+
+
+def test_whole_tables_of_events_and_vectors(spark):
+    props = [(r.user_id, *x) for r in spark.read.parquet(f"{SF}/events.parquet").collect() for x in json.loads(r.props).items()]
+    assert sorted((r.user_id, r.key, str(r.value)) for r in rows(spark, "json_edges_whole")) == sorted((u, k, str(v)) for u, k, v in props)
+    for name in ("pna_aggregate", "sage_max_layer", "gcn_norm_layer", "virtual_node", "gnnak_pool"):
+        some, got = ({(r.idx, r.pos): tuple(r)[2:] for r in rows(spark, name + x)} for x in ("", "_whole"))
+        assert {p for _, p in got} == set(range(64)) and {k for k in got if k[1] < 8} == set(some)
+        assert all(got[k] == pytest.approx(v, abs=1e-4) for k, v in some.items())
+    nodes = {r.idx: r.name for r in entry._catalogue.nodes(spark, SF).collect()}
+    names = {i: f"C{i % 7}.m{i % 13}" for i in nodes}
+    want = {n: min(k for k in names if n.endswith(names[k])) for n in nodes.values() if any(n.endswith(x) for x in names.values())}
+    assert {r.node: r.idx for r in rows(spark, "fuzzy_suffix_first_whole")} == want
+    con = duckdb.connect()
+    for x in ("embeddings", "lineitem"):
+        con.execute(f"create view {x} as select * from '{SF}/{x}.parquet'")
+    want = con.execute(entry.oracle_sql()["rerank_pad_contexts"].replace(" and idx % 7 = 0", "")).fetchall()
+    assert sorted(tuple(r[c] for c in ("query", "place", "idx")) for r in rows(spark, "rerank_pad_contexts_whole")) == sorted(want)
