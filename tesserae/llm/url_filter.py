@@ -1,6 +1,6 @@
 """URL filter by a tree of path templates, with DataFrame operations only.
 
-Per host, paths are walked level by level.  At a node whose children are variable (many, and few rows to each)
+Per host, paths are walked level by level, until no node has as many rows as a child needs to stand alone.  At a node whose children are variable (many, and few rows to each)
 all children become one wildcard; elsewhere rare children do.  Of the children left, those whose share of bad
 labels does not differ from their siblings' by more than ``Z`` standard errors become one merged branch.  A
 template's purity is its share of bad labels, smoothed towards its host's, which is smoothed towards the
@@ -16,9 +16,9 @@ from .common import Scratch
 
 #: Fixed values: (host, path start, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Levels of a tree; children above which a node can be variable, and rows a child it then has less than; rows
+#: Children above which a node can be variable, and rows a child it then has less than; rows
 #: that a child needs to stand alone; standard errors; pseudo-counts; the purity that blocks.
-LEVELS, MANY, DENSE, RARE, Z, PSEUDO, REJECT = 4, 8, 4, 5, 2.0, 5.0, 0.4
+MANY, DENSE, RARE, Z, PSEUDO, REJECT = 8, 4, 5, 2.0, 5.0, 0.4
 WILD, MERGED = "*", "~"
 
 
@@ -48,8 +48,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     """A row for each row of ``pages`` (page_id, url): host, path, rule, verdict, template, purity.
 
     ``labels`` has page_id and bad (0 or 1); a page with several labels has the worst.  Cases: a url that is null
-    or has no ``://`` has empty host and path, and is judged like any other host; segments beyond ``LEVELS`` are
-    one wildcard; null page_ids have no label; repeated rows are judged each; other columns are ignored; with no
+    or has no ``://`` has empty host and path, and is judged like any other host; null page_ids have no label; repeated rows are judged each; other columns are ignored; with no
     labels every purity is 1/2 of nothing, that is 0.5 smoothed, and ``allow`` is given; no rows give no rows.
     """
     scratch = Scratch(pages.sparkSession)
@@ -59,7 +58,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     parts = F.split(F.regexp_replace("path", "^/", ""), "/")
     rows = rows.join(marks, "page_id", "left").withColumn("parts", F.when(F.length("path") > 0, parts).otherwise(F.array().cast("array<string>"))).withColumn("template", F.lit(""))
     rows = scratch.save(rows.withColumn("labelled", F.col("bad").isNotNull().cast("long")).fillna({"bad": 0}), "level_0")
-    for depth in range(LEVELS):
+    depth = 0
+    # below a node with fewer than RARE rows every segment is a wildcard
+    while not rows.where(F.size("parts") > depth).groupBy("host", "template").count().where(F.col("count") >= RARE).isEmpty():
         seg = F.get("parts", F.lit(depth))
         inside = rows.where(seg.isNotNull()).select("host", "template", seg.alias("seg"), "bad", "labelled")
         child = inside.groupBy("host", "template", "seg").agg(F.count("*").alias("n"), F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
@@ -72,8 +73,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
         step = F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("token", F.lit(WILD))))
         rows = scratch.save(rows.withColumn("template", step).drop("seg", "token"), f"level_{depth + 1}")
         scratch.drop(f"level_{depth}")
-    template = F.when(F.size("parts") > LEVELS, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))
-    rows = rows.withColumn("template", template)
+        depth += 1
+    rows = rows.withColumn("template", F.concat("template", F.repeat(F.lit("/" + WILD), F.greatest(F.size("parts") - depth, F.lit(0)))))
     per = rows.groupBy("host", "template").agg(F.sum("bad").alias("b"), F.sum("labelled").alias("l"))
     hosts = per.groupBy("host").agg(F.sum("b").alias("host_b"), F.sum("l").alias("host_l"))
     all_b, all_l = rows.agg(F.coalesce(F.sum("bad"), F.lit(0)), F.coalesce(F.sum("labelled"), F.lit(0))).first()
