@@ -74,3 +74,29 @@ def fallback_edges(bodies: DataFrame, imports: DataFrame, names: DataFrame, exis
     """(src, dst): bodies of a file that mention the last segment of one of its imports, resolved, and new."""
     mention = bodies.join(imports, "file").where(F.contains(F.col("body"), last_segment(F.col("imp")))).select("src", "imp")
     return mention.join(resolve_imports(imports, names), "imp").select("src", F.col("idx").alias("dst")).distinct().join(existing, ["src", "dst"], "left_anti")
+
+
+def callers(names: DataFrame, graph: DataFrame) -> DataFrame:
+    """(idx, file_id, etype, caller): each of ``names`` (idx, file_id, name) with its node of the call graph (idx, name).
+
+    A file's is the undotted node that is its stem (etype 2); others' the first that contains their name (etype 1).
+    The caller is null where there is none.
+    """
+    is_file = F.col("name").endswith(".py")
+    first = contains_first(names.where(~is_file), graph).withColumnRenamed("idx", "caller")
+    some = names.where(~is_file).join(first, "name", "left").select("idx", "file_id", F.lit(1).alias("etype"), "caller")
+    plain = graph.where(~F.col("name").contains(".")).groupBy(F.col("name").alias("stem")).agg(F.min("idx").alias("caller"))
+    files = names.where(is_file).withColumn("stem", F.substring_index("name", ".", 1)).join(plain, "stem", "left")
+    return some.unionByName(files.select("idx", "file_id", F.lit(2).alias("etype"), "caller"))
+
+
+def call_edges(found: DataFrame, names: DataFrame, calls: DataFrame) -> DataFrame:
+    """(src, dst, etype): ``found`` callers to the first name that ends what they call; ``calls`` has caller and node."""
+    ends = suffix_first(calls, names.select("idx", "name")).withColumnRenamed("idx", "dst")
+    return found.join(calls, "caller").join(ends, "node").select(F.col("idx").alias("src"), "dst", "etype").distinct()
+
+
+def call_misses(found: DataFrame) -> DataFrame:
+    """(file_id, captured, missed): functions, classes and methods of a file with and without a node; files do not count."""
+    one = found.where("etype = 1")
+    return one.groupBy("file_id").agg(F.count("caller").alias("captured"), F.count_if(F.col("caller").isNull()).alias("missed"))

@@ -87,3 +87,23 @@ def test_whole_tables_of_events_and_vectors(spark):
         con.execute(f"create view {x} as select * from '{SF}/{x}.parquet'")
     want = con.execute(entry.oracle_sql()["rerank_pad_contexts"].replace(" and idx % 7 = 0", "")).fetchall()
     assert sorted(tuple(r[c] for c in ("query", "place", "idx")) for r in rows(spark, "rerank_pad_contexts_whole")) == sorted(want)
+
+
+def test_call_edges_against_loops(spark):
+    names, graph, calls = (x.collect() for x in entry._catalogue._call_graph(spark, SF))
+    names, graph = sorted(names), sorted(graph, key=lambda r: r.idx)
+    called = {}
+    for r in calls:
+        called.setdefault(r.caller, []).append(r.node)
+    ends = {x: next((n.idx for n in names if x.endswith(n.name)), None) for x in {r.node for r in calls}}
+    edges, misses = set(), {}
+    for n in names:
+        file = n.name.endswith(".py")
+        node = next((g.idx for g in graph if (g.name == n.name.split(".")[0] if file else n.name in g.name)), None)
+        edges |= {(n.idx, ends[x], 2 if file else 1) for x in called.get(node, ()) if ends[x] is not None}
+        if not file:
+            m = misses.setdefault(n.file_id, [0, 0])
+            m[node is None] += 1
+    assert {e for _, _, e in edges} == {1, 2} and any(m for _, m in misses.values())
+    assert sorted(map(tuple, rows(spark, "call_edges"))) == sorted(edges)
+    assert {r.file_id: [r.captured, r.missed] for r in rows(spark, "call_edge_misses")} == misses
