@@ -13,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 U64 = np.uint64
 #: Multipliers of a 64-bit finaliser (odd constants; fixed values).
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -25,16 +27,18 @@ class Scratch:
     """Parquet tables that cut lineage, under the folder of ``spark.checkpoint.dir``.
 
     Every executor and the driver can read them, so a lost executor costs a re-run of single tasks only.  Where
-    the session names no folder (tests in local mode) one temporary folder is made.  Tables are deleted by
-    ``drop`` or when the JVM ends.
+    the session names no folder, one temporary folder is made in local mode; elsewhere that is an error.  Tables
+    are deleted by ``drop`` or when the JVM ends.  The package is sent to the executors on the way.
     """
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
-            spark.conf.set("spark.tesserae.scratch", root)
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/tesserae-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm

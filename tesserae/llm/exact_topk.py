@@ -3,9 +3,10 @@
 Vectors are ordered by length, longest first, and packed in that order.  An orthogonal rotation from the singular
 vectors of the whole table puts most of every inner product into the first coordinates: the partial sum over
 ``HEAD`` of them plus the product of the residual lengths (Cauchy-Schwarz) bounds the whole from above.  The block
-with the longest vectors meets all queries first, which gives each query a floor; after that a block is skipped
-where the product of lengths stays under the floor, and a candidate where its bound does.  What is left is
-computed exactly.
+with the longest vectors meets all queries first, which gives each query a floor.  Queries are then packed in the
+order of floor / length, and a block meets a chunk only if its longest vector can reach the least of these ratios,
+which the marks of both tell before anything is copied.  Inside a cell a candidate is skipped where its bound stays
+under the floor; what is left is computed exactly.
 """
 
 from __future__ import annotations
@@ -18,53 +19,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectors import best_of, grid, in_partitions, matrix, packed, ranked, usable
+from .vectors import best_of, in_cells, in_partitions, matrix, once, ranked, usable
 
 #: Vectors of a packed block; queries of a chunk; vectors bounded together; rotated coordinates summed first.
-BLOCK, CHUNK, STRIP, HEAD = 8192, 2048, 1024, 24
+BLOCK, CHUNK, STRIP, HEAD = 16384, 4096, 1024, 24
+#: Rows into which the executors add up the partitions' Gram matrices.
+SUMS = 16
 NO_FLOOR = -1e300
 
 
 def _gram(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         g = np.zeros((width, width))
         for b in batches:
             m = matrix(b.column("v"), width)
             g += m.T @ m
-        yield pa.RecordBatch.from_pydict({"g": pa.array([g.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId() % SUMS]), "g": pa.array([g.tobytes()], pa.binary())})
 
     return run
 
 
-def _cell(rotation: np.ndarray, k: int):
+def _added(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    return pa.table({"part": [key[0].as_py()], "g": pa.array([sum(np.frombuffer(x.as_buffer()) for x in t.column("g")).tobytes()], pa.binary())})
+
+
+def _cell(rotation: np.ndarray, k: int, kind: type):
     width = len(rotation)
     head = min(HEAD, width)
 
-    def run(x_ids: np.ndarray, x_data: bytes, q_ids: np.ndarray, q_data: bytes) -> dict[str, np.ndarray]:
-        x = np.frombuffer(x_data).reshape(-1, width)
-        both = np.frombuffer(q_data).reshape(-1, width + 1)
-        q, floor = np.ascontiguousarray(both[:, :width]), both[:, width].copy()
-        xr, qr = x @ rotation, q @ rotation
+    def run(block: dict, chunk: dict) -> dict[str, np.ndarray]:
+        x_ids, q_ids = (np.frombuffer(r["ids"], np.int64) for r in (block, chunk))
+        x, q = (np.frombuffer(r["data"], kind).reshape(-1, width).astype(np.float64) for r in (block, chunk))
+        floor = np.frombuffer(chunk["extra"]).copy()
+        qr = q @ rotation
         length = lambda m: np.sqrt((m * m).sum(1))
-        x_len, q_len, x_rest, q_rest = length(x), length(q), length(xr[:, head:]), length(qr[:, head:])
+        q_len, q_rest = length(q), length(qr[:, head:])
         row, score, ident = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
         for at in range(0, len(x), STRIP):
-            s = slice(at, at + STRIP)
-            live = np.flatnonzero(q_len * x_len[s].max() * (1 + 1e-9) + 1e-6 >= floor)
+            xs, xs_ids = x[at : at + STRIP], x_ids[at : at + STRIP]
+            x_len = length(xs)
+            live = np.flatnonzero(q_len * x_len.max() * (1 + 1e-9) + 1e-6 >= floor)
             if not len(live):
                 continue
-            bound = qr[live, :head] @ xr[s, :head].T + np.outer(q_rest[live], x_rest[s])
-            maybe = bound + 1e-9 * np.outer(q_len[live], x_len[s]) + 1e-6 >= floor[live, None]
-            maybe &= q_ids[live, None] != x_ids[None, s]
+            xr = xs @ rotation
+            bound = qr[live, :head] @ xr[:, :head].T + np.outer(q_rest[live], length(xr[:, head:]))
+            bound += 1e-9 * np.outer(q_len[live], x_len) + 1e-6
+            maybe = bound >= floor[live, None]
+            maybe &= q_ids[live, None] != xs_ids[None]
             if maybe.mean() > 0.1:
-                products = np.where(maybe, q[live] @ x[s].T, -np.inf)
+                products = np.where(maybe, q[live] @ xs.T, -np.inf)
                 kth = np.partition(products, -min(k, products.shape[1]), axis=1)[:, -min(k, products.shape[1])]
                 i, j = np.nonzero(maybe & (products >= np.maximum(floor[live], kth)[:, None]))
                 found = products[i, j]
             else:
                 i, j = np.nonzero(maybe)
-                found = np.einsum("ij,ij->i", q[live[i]], x[s][j])
-            row, score, ident = np.concatenate([row, live[i]]), np.concatenate([score, found]), np.concatenate([ident, x_ids[s][j]])
+                found = np.einsum("ij,ij->i", q[live[i]], xs[j])
+            row, score, ident = np.concatenate([row, live[i]]), np.concatenate([score, found]), np.concatenate([ident, xs_ids[j]])
             best = best_of(row, score, ident, k)
             row, score, ident = row[best], score[best], ident[best]
             count = np.bincount(row, minlength=len(q))
@@ -82,42 +94,48 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float
     Components x become floor(scale * x) in double precision.  ``queries`` has the same columns.  Returns
     query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id; fewer candidates give fewer rows.
     Cases: null ids, null vectors and vectors with a null or non-finite component take no part; vectors of
-    unequal size are compared as if filled with zeros, so an empty vector scores 0; a repeated id counts once;
-    other columns are ignored; an empty table gives no rows.  Products must stay under 2**53 to be exact.
+    unequal size are compared as if filled with zeros, so an empty vector scores 0; a repeated id counts once,
+    with the least of its vectors; other columns are ignored; an empty table gives no rows.  Components so large
+    that a product could reach 2**53, beyond which doubles are not exact, raise ValueError.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    whole = lambda df: usable(df, id_col, vec_col).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    whole = lambda df: once(usable(df, id_col, vec_col)).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
     x, q = scratch.save(whole(vectors), "vectors"), scratch.save(whole(queries), "queries")
-    n, width = x.agg(F.count("*"), F.max(F.size("v"))).first()
-    nq, q_width = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    largest = F.max(F.aggregate("v", F.lit(0.0), lambda a, b: F.greatest(a, F.abs(b))))
+    n, width, top = x.agg(F.count("*"), F.max(F.size("v")), largest).first()
+    nq, q_width, q_top = q.agg(F.count("*"), F.max(F.size("v")), largest).first()
     schema = "query_id long, vec_id long, score long"
     if not n or not nq:
         return ranked(spark.createDataFrame([], schema), k)
     width = max(width, q_width, 1)
-    gram = sum(np.frombuffer(r.g).reshape(width, width) for r in x.mapInArrow(_gram(width), "g binary").toLocalIterator())
-    rotation = np.linalg.eigh(gram)[1][:, ::-1].copy()
-    norm = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
-    by_length = x.repartitionByRange(max(1, -(-n // BLOCK)), F.desc(norm), "vec_id").sortWithinPartitions(F.desc(norm), "vec_id")
-    blocks = scratch.save(in_partitions(by_length, width, BLOCK), "blocks")
+    if top * q_top * width >= 2**53 or max(top, q_top) >= 2**31:
+        raise ValueError("components are too large for exact inner products")
+    kind = np.int16 if max(top, q_top) < 2**15 else np.int32
+    sums = x.mapInArrow(_gram(width), "part long, g binary").groupBy("part").applyInArrow(_added, "part long, g binary").collect()
+    rotation = np.linalg.eigh(sum(np.frombuffer(r.g) for r in sums).reshape(width, width))[1][:, ::-1].copy()
+    sent = _cell(rotation, k, kind)
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b))
+    by_length = x.withColumns({"mark": norm, "extra": F.lit(0.0)}).repartitionByRange(max(1, -(-n // BLOCK)), F.desc("mark"), "vec_id").sortWithinPartitions(F.desc("mark"), "vec_id")
     # a block's number is its partition's, shifted, plus its place there; the first one has the longest vectors
-    lead, last, most = blocks.agg(F.min("block"), F.max("block"), F.max(F.col("block").bitwiseAND((1 << 32) - 1))).first()
-    long = lambda i: F.lit(i).cast("long")
-    numbers = F.flatten(F.transform(F.sequence(long(0), long(last >> 32)), lambda p: F.transform(F.sequence(long(0), long(most)), lambda i: F.shiftleft(p, 32) + i)))
-    n_chunks = -(-nq // CHUNK)
+    blocks = scratch.save(in_partitions(by_length, width, BLOCK, kind), "blocks")
+    lead = blocks.agg(F.min("block")).first()[0]
     empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.int64}
 
     def pass_(floors: DataFrame | None) -> DataFrame:
-        wide = q.withColumn("floor", F.lit(NO_FLOOR)) if floors is None else q.join(floors, q.vec_id == floors.query_id, "left").drop("query_id").fillna({"floor": NO_FLOOR})
-        # the floor rides along behind the vector's components
-        filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")), F.array("floor"))
-        chunks = scratch.save(packed(wide.select("vec_id", filled.alias("v")), n_chunks, width + 1), f"chunks_{floors is None}")
-        which = F.array(long(lead)) if floors is None else F.array_remove(numbers, lead)
+        wide = q.withColumn("extra", F.lit(NO_FLOOR)) if floors is None else q.join(floors, q.vec_id == floors.query_id, "left").drop("query_id").withColumn("extra", F.coalesce("floor", F.lit(NO_FLOOR)))
+        # what a vector's length must reach for the floor of this query
+        wide = wide.withColumn("mark", F.when(norm > 0, F.col("extra") / norm).otherwise(F.lit(NO_FLOOR)))
+        by_ratio = wide.repartitionByRange(max(1, -(-nq // CHUNK)), "mark", "vec_id").sortWithinPartitions("mark", "vec_id")
+        chunks = scratch.save(in_partitions(by_ratio, width, CHUNK, kind), f"chunks_{floors is None}")
         some = blocks.where(F.col("block") == lead if floors is None else F.col("block") != lead)
-        return grid(some, which, chunks, n_chunks, _cell(rotation, k), schema, empty)
+        b, c = some.select(F.col("block").alias("b"), F.col("mark").alias("longest")), chunks.select(F.col("block").alias("c"), F.col("mark").alias("ratio"))
+        # a row for each block and each chunk, without their vectors
+        cells = scratch.save(b.join(c, F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("ratio")).select("b", "c"), f"cells_{floors is None}")
+        return in_cells(some, chunks, cells, sent, schema, empty)
 
     first = scratch.save(pass_(None), "first")
-    if last == lead:
+    if blocks.where(F.col("block") != lead).isEmpty():
         return ranked(first, k)
     floors = first.groupBy("query_id").agg(F.min("score").cast("double").alias("floor"), F.count("*").alias("many")).where(F.col("many") >= k).drop("many")
     return ranked(first.unionByName(scratch.save(pass_(floors), "others")), k)

@@ -1,26 +1,31 @@
 """Approximate nearest neighbours by a permutation index.
 
-``PIVOTS`` vectors of a bounded sample, far apart, are the pivots.  A vector is represented by its ``PREFIX`` nearest pivots
-in order, and posted under each of them with its place there.  A block's inverted files are arrays over its
-vectors, one a pivot (0: not posted), since a vector is posted under half of all pivots.  The footrule distance of
-two such prefixes is a constant minus twice the sum, over shared pivots, of PREFIX - max(place, place), so
-walking the postings of the query's pivots ranks all vectors of a block.  The nearest ``SHARE`` of a block are
+``PIVOTS`` vectors of a bounded sample, far apart, are the pivots.  A vector is represented by its ``PREFIX`` nearest
+pivots in order, and posted under each of them with its place there: a pivot's inverted file holds about one vector
+in PIVOTS / PREFIX.  Vectors are dealt into blocks, each with its own inverted files, which are built once.  The
+footrule distance of two prefixes is a constant minus twice the sum, over shared pivots, of PREFIX - max(place,
+place), so that walking the files of a query's pivots ranks the vectors that share one.  The nearest ``SHARE`` of a
+block and ``EACH`` more for each neighbour wanted, with all that stand at the same distance as the last of them, are
 scored on the original vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .vectors import best_of, grid, packed, ranked, usable
+from .vectors import in_cells, matrix, ranked, usable
 
-#: Vectors of the sample; pivots, chosen from it far apart; pivots in a vector's prefix; share of a block that is
-#: reranked, and at least so many.
-SAMPLE, PIVOTS, PREFIX, SHARE, LEAST = 2048, 128, 64, 0.15, 400
-BLOCK, CHUNK = 8192, 2048
+#: Vectors of the sample; pivots, chosen from it far apart; pivots in a vector's prefix.
+SAMPLE, PIVOTS, PREFIX = 4096, 2048, 64
+#: What is reranked: a share of a block, and so many more for each neighbour wanted.
+SHARE, EACH = 0.1, 5
+#: Vectors of a block, queries of a chunk, vectors whose pivots are found together.
+BLOCK, CHUNK, STRIP = 8192, 4096, 1024
+INDEXED = "block long, ids binary, data binary, ends binary, posted binary, weight binary"
 
 
 def lifted(m: np.ndarray, longest: float) -> np.ndarray:
@@ -33,63 +38,99 @@ def spread(sample: np.ndarray, many: int = PIVOTS) -> np.ndarray:
 
     Copies and near copies would be one pivot many times, and outweigh the others in every distance.
     """
+    sample = np.unique(sample, axis=0)
     chosen = [0]
     near = sample @ sample[0]
-    same = (sample == sample[0]).all(1)
-    while len(chosen) < many and not same.all():
-        at = int(np.where(same, np.inf, near).argmin())
+    near[0] = np.inf
+    while len(chosen) < min(many, len(sample)):
+        at = int(near.argmin())
         chosen.append(at)
-        near = np.maximum(near, sample @ sample[at])
-        same |= (sample == sample[at]).all(1)
+        np.maximum(near, sample @ sample[at], out=near)
+        near[at] = np.inf
     return sample[chosen]
 
 
-def weights(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
-    """PREFIX - place of each pivot in each vector's prefix, 0 outside it."""
-    o = np.argsort(-(m @ pivots.T), axis=1, kind="stable")[:, :prefix]
-    out = np.zeros((len(m), len(pivots)), np.uint8)
-    np.put_along_axis(out, o, np.broadcast_to(np.arange(prefix, 0, -1, dtype=np.uint8), o.shape), 1)
+def prefixes(m: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
+    """The numbers of each row's ``prefix`` nearest pivots, nearest first; ties go to the smaller number."""
+    out = np.zeros((len(m), prefix), np.int32)
+    for at in range(0, len(m), STRIP):
+        far = -(m[at : at + STRIP] @ pivots.T)
+        last = np.partition(far, prefix - 1, axis=1)[:, prefix - 1 : prefix]
+        few = far <= last
+        some = np.argsort(~few, axis=1, kind="stable")[:, : int(few.sum(1).max())]  # those at most as far, in order
+        order = np.argsort(np.take_along_axis(np.where(few, far, np.inf), some, 1), axis=1, kind="stable")[:, :prefix]
+        out[at : at + STRIP] = np.take_along_axis(some, order, 1)
     return out
 
 
-def _cell(pivots: np.ndarray, longest: float, width: int, k: int, share: float, least: int):
-    prefix = min(PREFIX, max(1, len(pivots) // 2))
+def _indexing(sent, width: int, longest: float, prefix: int, query: bool):
+    """A block's or chunk's packed row: vectors in the order of their ids, and their postings by pivot."""
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        pivots = sent.value
+        ids, m = np.asarray(t.column("vec_id").combine_chunks()), matrix(t.column("v"), width)
+        o = np.lexsort((*m.T[::-1], ids))  # a repeated id stands with the least of its vectors first
+        o = o[np.concatenate([[True], ids[o][1:] != ids[o][:-1]])]
+        ids, m = ids[o], m[o]
+        near = prefixes(np.hstack([m, np.zeros((len(m), 1))]) if query else lifted(m, longest), pivots, prefix)
+        if query:
+            posted, weight, ends = near.astype(np.int16), np.zeros(0, np.uint8), np.zeros(0, np.int32)
+        else:
+            flat = near.ravel()
+            by = np.argsort(flat, kind="stable")
+            posted, weight = (by // prefix).astype(np.int32), (prefix - by % prefix).astype(np.uint8)
+            ends = np.cumsum(np.bincount(flat, minlength=len(pivots))).astype(np.int32)
+        return pa.table({"block": [key[0]], **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("ids", ids), ("data", np.ascontiguousarray(m)), ("ends", ends), ("posted", posted), ("weight", weight))}})
+
+    return run
+
 
-    def run(x_ids: np.ndarray, x_data: bytes, q_ids: np.ndarray, q_data: bytes) -> dict[str, np.ndarray]:
-        x, q = np.frombuffer(x_data).reshape(-1, width), np.frombuffer(q_data).reshape(-1, width)
-        posted = np.ascontiguousarray(weights(lifted(x, longest), pivots, prefix).T)
-        wq = weights(np.hstack([q, np.zeros((len(q), 1))]), pivots, prefix)
-        take = min(len(x), max(least, int(np.ceil(share * len(x)))) + 1)
+def _cell(width: int, k: int, share: float, each: int, prefix: int):
+    def run(block: dict, chunk: dict) -> dict[str, np.ndarray]:
+        x_ids, q_ids = (np.frombuffer(r["ids"], np.int64) for r in (block, chunk))
+        x, q = (np.frombuffer(r["data"]).reshape(-1, width) for r in (block, chunk))
+        ends = np.frombuffer(block["ends"], np.int32)
+        begins = np.concatenate([[0], ends[:-1]])
+        posted, weight = np.frombuffer(block["posted"], np.int32), np.frombuffer(block["weight"], np.uint8)
+        walks = np.frombuffer(chunk["posted"], np.int16).reshape(-1, prefix)
+        own = np.arange(prefix, 0, -1, dtype=np.uint8)
+        take = min(len(x), int(np.ceil(share * len(x))) + each * k + 1)
         out = []
         for i in range(len(q)):
-            shared = np.zeros(len(x), np.int16)
-            for p in np.flatnonzero(wq[i]):
-                shared += np.minimum(posted[p], wq[i, p])
-            # ids ascend within a block, so among vectors at the same distance the smaller ids come first
-            order = np.arange(len(x)) - shared.astype(np.int64) * len(x)
-            near = np.argpartition(order, take - 1)[:take] if take < len(x) else np.arange(len(x))
+            files = [slice(a, b) for a, b in zip(begins[walks[i]], ends[walks[i]], strict=True)]
+            met = np.concatenate([posted[s] for s in files])
+            both = np.concatenate([np.minimum(weight[s], w) for s, w in zip(files, own, strict=True)])
+            shared = np.bincount(met, both, len(x)).astype(np.int64)
+            at_least = np.cumsum(np.bincount(shared)[::-1])[::-1]  # vectors that share so much or more
+            near = np.flatnonzero(shared >= np.flatnonzero(at_least >= take)[-1])
             near = near[x_ids[near] != q_ids[i]]
-            score = x[near] @ q[i]
-            best = near[best_of(np.zeros(len(near), np.int8), score, x_ids[near], k)]
-            out.append((np.full(len(best), q_ids[i]), x_ids[best], x[best] @ q[i]))
+            rows = x[near]
+            rough = rows @ q[i]
+            if len(near) > k:  # the product's last bits depend on the rows around it: what it ranks near the end stays
+                good = np.flatnonzero(rough >= np.partition(rough, -k)[-k] - 1e-9 * max(1.0, np.abs(rough).max()))
+                near, rows = near[good], rows[good]
+            score = (rows * q[i]).sum(1)
+            best = np.lexsort((x_ids[near], -score))[:k]
+            out.append((np.full(len(best), q_ids[i]), x_ids[near[best]], score[best]))
         return dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True))
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, each: int = EACH, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Each query's ``k`` nearest found among the rows of ``vectors`` with another id, by largest inner product.
 
     ``queries`` has the same columns.  Returns query_id, rank (from 1), vec_id, score (the inner product of the
-    original vectors, in double precision); ties go to the smaller vec_id.  The pivots are
-    ``PIVOTS`` different vectors of a sample of ``SAMPLE``; every vector is indexed.  Cases: null ids and vectors that are null, zero, empty or hold
-    a null or non-finite component take no part; vectors of unequal size are filled with zeros; a repeated id
-    counts once; other columns are ignored; fewer candidates give fewer rows; an empty table gives no rows.
+    original vectors, in double precision, summed in one order); ties go to the smaller vec_id.  The pivots are up
+    to ``PIVOTS`` different vectors of a sample of ``SAMPLE``; every vector is indexed.  Cases: null ids and vectors
+    that are null, zero, empty or hold a null or non-finite component take no part; vectors of unequal size are
+    filled with zeros; a repeated id counts once, with the least of its vectors; other columns are ignored; fewer
+    candidates give fewer rows; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     some = F.exists("v", lambda x: x != 0)
-    x, q = (scratch.save(usable(df, id_col, vec_col).where(some), name) for df, name in ((vectors, "vectors"), (queries, "queries")))
+    x, q = (usable(df, id_col, vec_col).where(some) for df in (vectors, queries))
     square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b * b)
     n, width, longest = x.agg(F.count("*"), F.max(F.size("v")), F.max(square)).first()
     nq, q_width = q.agg(F.count("*"), F.max(F.size("v"))).first()
@@ -97,11 +138,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if not n or not nq:
         return ranked(spark.createDataFrame([], schema), k)
     width, longest = max(width, q_width), float(np.sqrt(longest))
-    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    pivots = spread(lifted(np.array([[*r.v, *[0.0] * (width - len(r.v))] for r in sample]), longest))
-    n_blocks, n_chunks = -(-n // BLOCK), -(-nq // CHUNK)
-    blocks = scratch.save(packed(x, n_blocks, width), "blocks")
-    names = F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))
-    chunks = scratch.save(packed(q, n_chunks, width), "chunks")
+    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow()
+    pivots = spread(lifted(matrix(sample.column("v"), width), longest))
+    prefix = min(PREFIX, max(1, len(pivots) // 2))
+    sent = spark.sparkContext.broadcast(pivots)
+
+    def indexed(rows: DataFrame, many: int, query: bool) -> DataFrame:
+        dealt = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(many)).alias("block"), "vec_id", "v")
+        return scratch.save(dealt.groupBy("block").applyInArrow(_indexing(sent, width, longest, prefix, query), INDEXED), f"index_{query}")
+
+    n_chunks = -(-nq // CHUNK)
+    blocks, chunks = indexed(x, -(-n // BLOCK), False), indexed(q, n_chunks, True)
+    # every chunk meets every block's files
+    cells = blocks.select(F.col("block").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_chunks - 1).cast("long"))).alias("c"))
+    cells = scratch.save(cells, "cells")
     empty = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64}
-    return ranked(scratch.save(grid(blocks, names, chunks, n_chunks, _cell(pivots, longest, width, k, share, least), schema, empty), "found"), k)
+    return ranked(scratch.save(in_cells(blocks, chunks, cells, _cell(width, k, share, each, prefix), schema, empty), "found"), k)
