@@ -15,7 +15,7 @@ from .mixing import mixed_epochs
 from .near_dedup import near_duplicates
 from .packing import pack
 from .permutation_index import nearest
-from .url_filter import RULES, judge
+from .url_filter import judge, path_of
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,10 +40,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages carry the number of their document in the url's path; labels of documents are labels of pages."""
+    """A page's path ends in the number of its document (``/en/5.html``); labels of documents are labels of pages."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
-    number = pages.select("page_id", F.try_to_number(F.nullif(F.regexp_extract("url", "/([0-9]{1,18})", 1), F.lit("")), F.lit("9" * 18)).cast("long").alias("doc_id"))
+    last = F.regexp_extract(path_of(F.col("url")), r"^.*/([0-9]{1,18})(?:[/.].*)?$", 1)
+    number = pages.select("page_id", F.try_to_number(F.nullif(last, F.lit("")), F.lit("9" * 18)).cast("long").alias("doc_id")).where("doc_id is not null")
     return judge(pages, number.join(bad, "doc_id").select("page_id", "bad"))
 
 
