@@ -8,18 +8,19 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(scratch: Scratch, edges: DataFrame, large: bool, tag: str) -> DataFrame:
     """One star round over edges ``(u, v)`` with ``u > v``.
 
-    Each node's neighbourhood is reduced to its smallest member by an aggregate with map-side combine, and that
-    one row a node is joined back; a hub's edges are only ever on the side of the join that can be split.
+    Each node's neighbourhood is reduced to its smallest member by an aggregate with map-side combine.  That one row
+    a node is written before it is joined back: read from a table of known size it is broadcast where it is small,
+    and elsewhere both sides of the join have exchanges of their own, of which a hub's edges can be split.
     """
     if large:
         seen = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.save(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{tag}_low")
         out = seen.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        low = edges.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.save(edges.groupBy("u").agg(F.min("v").alias("m")), f"{tag}_low")
         out = edges.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
@@ -35,8 +36,9 @@ def components(scratch: Scratch, edges: DataFrame, tag: str) -> DataFrame:
     mark, k = print_of(now), 0
     while mark[0]:
         k += 1
-        nxt = scratch.save(_star(_star(now, True), False), f"{tag}_{k}")
-        scratch.drop(f"{tag}_{k - 1}")
+        half = scratch.save(_star(scratch, now, True, f"{tag}_{k}a"), f"{tag}_{k}a")
+        nxt = scratch.save(_star(scratch, half, False, f"{tag}_{k}b"), f"{tag}_{k}")
+        scratch.drop(f"{tag}_{k - 1}", f"{tag}_{k}a", f"{tag}_{k}a_low", f"{tag}_{k}b_low")
         was, mark, now = mark, print_of(nxt), nxt
         if was == mark:
             break

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import GOLDEN, MIX_A, U64, Scratch, WordHashes, binary_rows, lists, mixed, slices, text_bytes, words
 from .components import components
@@ -34,6 +35,8 @@ DROP, NEAR, FAR = 0.5, 0.8, 0.22
 FREQUENT, SIZE_STEP = 1 << 18, 1.05
 #: log2 of the most bits in the broadcast filter of wanted ids (16 MB); a fuller filter only lets more texts by.
 MOST_BITS = 27
+#: 64-bit words of the pieces in which that filter is put together.
+PIECE = 1 << 13
 #: Words of a batch that are hashed together.
 BATCH_WORDS = 400_000
 
@@ -91,9 +94,7 @@ def _sketched(k: int):
             bands, sig = np.zeros((len(sets), SLOTS // ROWS), np.int64), np.zeros((len(sets), SLOTS), np.uint8)
             if len(full):
                 some = [sets[i] for i in full]
-                flat, at = np.concatenate(some), np.concatenate([[0], np.cumsum(n[full])[:-1]])
-                f[full, 0] = np.add.reduceat(mixed(flat), at).view(np.int64)
-                f[full, 1] = np.add.reduceat(mixed(flat ^ U64(GOLDEN)), at).view(np.int64)
+                f[full] = _prints(np.concatenate(some), np.concatenate([[0], np.cumsum(n[full])[:-1]]))
                 s = sketches(some)
                 bands[full], sig[full] = band_keys(s), (mixed(s) & U64(255)).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(f[:, 0]), pa.array(f[:, 1]), lists(bands.ravel(), SLOTS // ROWS), binary_rows(sig)], schema=schema)
@@ -101,26 +102,41 @@ def _sketched(k: int):
     return run
 
 
+def _prints(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums for each of the sets that begin ``at`` these places of ``flat``: equal for equal sets."""
+    return np.stack([np.add.reduceat(mixed(flat), at), np.add.reduceat(mixed(flat ^ U64(GOLDEN)), at)], 1).view(np.int64)
+
+
 def _sets(k: int, wanted):
-    schema = pa.schema([("id", pa.int64()), ("items", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, hashes = wanted.value, WordHashes()
         for b in slices(batches, "text"):
             b = b.filter(pa.array(_in_bitmap(bitmap, np.asarray(b.column("place")))))
-            items = [shingle_set(t, hashes, k).tobytes() for t in text_bytes(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(items, pa.binary())], schema=schema)
+            sets = [shingle_set(t, hashes, k) for t in text_bytes(b.column("text"))]
+            full = np.array([len(s) > 0 for s in sets], bool)
+            some = [s for s in sets if len(s)]
+            f = _prints(np.concatenate(some), np.cumsum([0, *map(len, some[:-1])])) if some else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(full)), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([s.tobytes() for s in some], pa.binary())], schema=schema)
 
     return run
 
 
+def _piece(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    words_ = np.zeros(PIECE, np.int64)
+    words_[np.asarray(t.column("w")) % PIECE] = np.asarray(t.column("b"))
+    return pa.table({"p": [key[0].as_py()], "bits": pa.array([words_.tobytes()], pa.binary())})
+
+
 def _bitmap(ids: DataFrame, many: int):
-    """(bits, broadcast bitmap) of the hashes of column id; it has at most 2**MOST_BITS bits."""
+    """(bits, broadcast bitmap) of the hashes of column id; it has at most 2**MOST_BITS bits, put together in pieces by the executors."""
     bits = 1 << min(MOST_BITS, max(12, (16 * many).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("b")).collect()
-    bitmap = np.zeros(bits // 64, np.int64)
-    bitmap[[r.w for r in rows]] = [r.b for r in rows]
+    rows = ids.groupBy(F.floor(place / 64).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))")).alias("b"))
+    bitmap = np.zeros(-(-bits // 64 // PIECE) * PIECE, np.int64)
+    for r in rows.withColumn("p", F.floor(F.col("w") / PIECE)).groupBy("p").applyInArrow(_piece, "p long, bits binary").collect():
+        bitmap[r.p * PIECE : (r.p + 1) * PIECE] = np.frombuffer(r.bits, np.int64)
     return bits, ids.sparkSession.sparkContext.broadcast(bitmap.view(U64))
 
 
@@ -130,11 +146,11 @@ def _in_bitmap(bitmap: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _split(sent, inside: bool):
-    """The rows whose ``_place`` is in the bitmap, or the others; without that column."""
+    """The rows whose ``_tesserae_place`` is in the bitmap, or the others; without that column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_in_bitmap(sent.value, np.asarray(b.column("_place"))) == inside)).drop_columns(["_place"])
+            yield b.filter(pa.array(_in_bitmap(sent.value, np.asarray(b.column("_tesserae_place"))) == inside)).drop_columns(["_tesserae_place"])
 
     return run
 
@@ -215,7 +231,7 @@ def _postings(frequent, percent: int):
 
 
 class _Links:
-    """Tests pairs of class representatives and holds the links and components found so far."""
+    """Tests pairs of classes, by their numbers, and holds the links and components found so far."""
 
     def __init__(self, scratch: Scratch, docs: DataFrame, classes: DataFrame, k: int, percent: int):
         self.scratch, self.docs, self.classes, self.k, self.percent = scratch, docs, classes, k, percent
@@ -225,33 +241,33 @@ class _Links:
 
     def estimate(self, pairs: DataFrame, tag: str) -> DataFrame:
         """``pairs`` (a > b, distinct) with the sketch estimate; saved."""
-        one = self.classes.select("rep", "n", "sig")
-        left = one.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-        right = one.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+        left = self.classes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+        right = self.classes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         est = both.select("a", "b", "sig_a", "sig_b").mapInArrow(_estimated, "a long, b long, est double")
         return self.scratch.save(est, tag)
 
     def fetch(self, pairs: DataFrame, tag: str) -> None:
-        """Compute the full sets that ``pairs`` need and that no earlier call has; texts are read once for all."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        """Compute the full sets that ``pairs`` need and that no earlier call has; texts are read once for all.
+
+        A class's text is found by its smallest doc_id, and told from other texts of that id by its prints.
+        """
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         if self.sets is not None:
-            ids = ids.join(self.sets.select("id"), "id", "left_anti")
-        ids = self.scratch.save(ids, f"{tag}_ids")
+            nodes = nodes.join(self.sets.select(F.col("id").alias("node")), "node", "left_anti")
+        ids = self.scratch.save(nodes.join(self.classes.select("node", F.col("rep").alias("id"), "f1", "f2"), "node"), f"{tag}_ids")
         many = ids.count()
         if not many:
             return
         # texts that cannot be wanted are left out before anything is shuffled
         bits, sent = _bitmap(ids, many)
         texts = self.docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place")).where("doc_id is not null")
-        new = self.scratch.save(texts.mapInArrow(_sets(self.k, sent), "id long, items binary").join(ids, "id", "left_semi"), f"{tag}_sets")
+        sets = texts.mapInArrow(_sets(self.k, sent), "doc_id long, f1 long, f2 long, items binary").withColumnRenamed("doc_id", "id")
+        new = self.scratch.save(sets.join(ids, ["id", "f1", "f2"]).groupBy(F.col("node").alias("id")).agg(F.first("items").alias("items")), f"{tag}_sets")
         self.sets = new if self.sets is None else self.sets.unionByName(new)
 
     def verify(self, pairs: DataFrame, tag: str) -> DataFrame:
-        """Those of ``pairs`` (a, b) whose full sets reach the limit; saved.
-
-        A representative's row is found by its doc_id; where rows share that id, each of their sets is tried.
-        """
+        """Those of ``pairs`` (a, b) whose full sets reach the limit; saved."""
         a, b = self.sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), self.sets.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
         return self.scratch.save(pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_linked(self.percent), "a long, b long"), tag)
 
@@ -283,9 +299,9 @@ class _Links:
             self._take(self.verify(rest, f"{tag}_more"), f"{tag}_c2")
 
     def settle(self, left: DataFrame, tag: str) -> None:
-        """All links between different components among ``left`` (rep, c, out) with an end whose ``out`` is set."""
-        self.fetch(left.select(F.col("rep").alias("a"), F.col("rep").alias("b")), tag)
-        sets = self.sets.join(left.withColumnRenamed("rep", "id"), "id")
+        """All links between different components among ``left`` (node, c, out) with an end whose ``out`` is set."""
+        self.fetch(left.select(F.col("node").alias("a"), F.col("node").alias("b")), tag)
+        sets = self.sets.join(left.withColumnRenamed("node", "id"), "id")
         often = self.scratch.save(sets.select("items").mapInArrow(_frequencies, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"), f"{tag}_often")
         # the most frequent shingles, as many whole frequency classes as fit the bound
         steps = often.groupBy(F.floor(F.log2("n") * 16).alias("s")).count().orderBy(F.desc("s")).collect()
@@ -313,79 +329,118 @@ class _Links:
         self.found = self.scratch.save(components(self.scratch, edges, f"{tag}_cc"), tag)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents joined by chains of links ``100 * |A & B| >= percent * |A | B|``.
 
     Parameters: ``docs`` with ``doc_id`` (long) and ``text`` (string), other columns ignored; ``shingle`` words.
     Returns a row per input row: doc_id, n_shingles, component_id, kept.  Cases: null or blank texts have no
-    shingle, are linked with nothing and kept; texts with fewer words than a shingle are one shingle; a row with
-    null doc_id is never linked, its component_id is null and kept false; repeated rows give repeated results,
-    rows that share a doc_id but not the text are grouped by their own texts; no rows give no rows.
+    shingle, are linked with nothing and kept; texts with fewer words than a shingle are one shingle; texts of any
+    length are taken whole; a row with null doc_id is never linked, its component_id is null and kept false;
+    repeated rows give repeated results; rows that share a doc_id but not the text are grouped each by its own text,
+    and a group's component_id is the smallest doc_id of all its rows; no rows give no rows.
     ``percent`` is at least 80, which is what bands and bounds are laid out for.
     """
+    return _grouped(docs, shingle, percent).drop("f1", "f2")
+
+
+def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``near_duplicates`` with the prints of each row's set."""
     if not 80 <= percent <= 100:
         raise ValueError("percent must be between 80 and 100")
     docs = docs.select("doc_id", "text")
     scratch = Scratch(docs.sparkSession)
     all_ = scratch.save(docs.mapInArrow(_sketched(shingle), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
-    classes = scratch.save(some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"), F.count("*").alias("rows")), "classes")
+    # a class of equal sets is one node of the graph, with a number of its own: one doc_id may have several texts
+    equal = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = scratch.save(equal.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    posts = classes.select(F.explode("bands").alias("key"), "rep")
+    posts = classes.select(F.explode("bands").alias("key"), "node")
     # the leader of a bucket with several members; a bucket with one is gone here
-    leaders = scratch.save(posts.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last")).where("lead <> last"), "leaders")
-    members = scratch.save(posts.join(leaders, "key").select("key", "rep", "lead"), "members")
+    leaders = scratch.save(posts.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead <> last"), "leaders")
+    members = scratch.save(posts.join(leaders, "key").select("key", "node", "lead"), "members")
     work = _Links(scratch, docs, classes, shingle, percent)
-    stars = members.where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct()
+    stars = members.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()
     est = work.estimate(stars, "est_0")
     work.test(est, "test_0")
 
     # A bucket whose members are all in one component is done.  Else those outside the leader's component meet
     # the bucket, but the ones far from the leader need not meet the ones near it.
     comp = work.component_of
-    marked = comp(comp(members.where("rep <> lead").join(est.select(F.col("a").alias("rep"), F.col("b").alias("lead"), "est"), ["rep", "lead"], "left"), "rep", "c"), "lead", "its")
+    marked = comp(comp(members.where("node <> lead").join(est.select(F.col("a").alias("node"), F.col("b").alias("lead"), "est"), ["node", "lead"], "left"), "node", "c"), "lead", "its")
     est_of = lambda test: F.coalesce(test, F.lit(False))
     kind = F.when(est_of(F.col("est") >= NEAR) & (F.col("c") == F.col("its")), 0).when(est_of(F.col("est") < FAR), 2).otherwise(1)
-    marked = scratch.save(marked.select("key", "rep", "c", (F.col("c") != F.col("its")).alias("out"), kind.alias("kind")), "marked")
-    open_ = marked.groupBy("key").agg(F.sum(F.col("out").cast("long")).alias("loose"), F.sum((F.col("kind") == 1).cast("long")).alias("mid"), F.count("*").alias("m")).where("loose > 0 and (mid > 0 and m > 1 or loose > 1)")
-    rest = scratch.save(marked.join(open_.select("key", "loose", "mid"), "key").where("kind > 0 or mid > 0"), "open")
+    marked = scratch.save(marked.select("key", "node", "c", (F.col("c") != F.col("its")).alias("out"), kind.alias("kind")), "marked")
+    counts = [F.sum(test.cast("long")).alias(name) for name, test in (("loose", F.col("out")), ("mid", F.col("kind") == 1), ("far", F.col("kind") == 2))]
+    open_ = marked.groupBy("key").agg(*counts, F.count("*").alias("m")).where("loose > 0 and (mid > 0 and m > 1 or far > 1)")
+    rest = scratch.save(marked.join(open_.select("key", "mid"), "key").where("kind > 0 or mid > 0"), "open")
     if not rest.isEmpty():
-        left = scratch.save(rest.groupBy("rep").agg(F.min("c").alias("c"), F.max("out").alias("out")), "left")
+        left = scratch.save(rest.groupBy("node").agg(F.min("c").alias("c"), F.max("out").alias("out")), "left")
         work.settle(left, "settle")
 
-    groups = classes.select("f1", "f2", "rep", "rows")
+    groups = classes.select("f1", "f2", "node", "rep")
     if work.found is not None:
-        groups = groups.join(work.found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        linked = scratch.save(work.found.join(groups.select("node", "rep"), "node"), "linked")
+        least = linked.groupBy("component").agg(F.min("rep").alias("c"))
+        groups = groups.join(scratch.save(linked.join(least, "component").select("node", "c"), "named"), "node", "left")
     else:
-        groups = groups.withColumn("component", F.col("rep"))
-    groups = groups.select("f1", "f2", F.coalesce("component", "rep").alias("c"), "rows")
-    named = some.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
-    lone = all_.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        groups = groups.withColumn("c", F.col("rep"))
+    groups = scratch.save(groups.select("f1", "f2", F.coalesce("c", "rep").alias("c")), "groups")
+    named = some.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "f1", "f2")
+    lone = all_.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "f1", "f2")
     out = scratch.save(named.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
-    scratch.drop("sketches", "classes", "leaders", "members", "marked", "open", "est_0")
+    scratch.drop("sketches", "classes", "leaders", "members", "marked", "open", "est_0", "groups", "named", "linked")
     return out
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, in its own columns.
+def without_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates, in its own columns, unchanged.
 
-    Rows with null doc_id stay.  Of rows that share the doc_id of a kept document one stays for each text.
+    Cases as in ``near_duplicates``; rows with null doc_id stay, and so do rows without words; of rows that share
+    both doc_id and shingles one stays; where a doc_id has several texts, those stay whose group has no smaller
+    doc_id; columns may have any names but ``_tesserae_place``, ``_tesserae_1`` and ``_tesserae_2``.
     """
-    found = near_duplicates(docs).where("doc_id is not null")
     scratch = Scratch(docs.sparkSession)
-    per = scratch.save(found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "per_id")
-    gone = per.where("not kept").select(F.col("doc_id").alias("id"))
-    many = gone.count()
+    found = _grouped(docs, shingle, 80).where("doc_id is not null")
+    per = scratch.save(found.groupBy("doc_id").agg(F.max("kept").alias("some"), F.count("*").alias("rows")), "per_id")
+    # ids of which every row goes, and ids that have several rows, which are told apart by their texts
+    listed = scratch.save(per.where("not some or rows > 1").select(F.col("doc_id").alias("id")), "listed")
+    many = listed.count()
     if not many:
-        kept = docs
-    else:
-        # only rows that the bitmap of dropped ids lets by are shuffled to be looked up
-        bits, sent = _bitmap(gone, many)
-        placed = docs.withColumn("_place", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
-        some = placed.where("doc_id is not null").mapInArrow(_split(sent, True), docs.schema)
-        kept = placed.where("doc_id is not null").mapInArrow(_split(sent, False), docs.schema).unionByName(docs.where("doc_id is null")).unionByName(some.join(gone, some.doc_id == gone.id, "left_anti"))
-    twice = per.where("kept and rows > 1").select("doc_id")
+        return docs
+    # only rows that the bitmap of listed ids lets by are shuffled to be looked up
+    bits, sent = _bitmap(listed, many)
+    placed = docs.withColumn("_tesserae_place", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(bits)), F.lit(0)))
+    known = placed.where("doc_id is not null")
+    inside, outside = (known.mapInArrow(_split(sent, x), docs.schema) for x in (True, False))
+    kept = outside.unionByName(docs.where("doc_id is null")).unionByName(inside.join(listed, inside.doc_id == listed.id, "left_anti"))
+    twice = scratch.save(per.where("some and rows > 1").select(F.col("doc_id").alias("id")), "twice")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, "doc_id", "left_anti").unionByName(again)
+    prints = scratch.save(inside.join(twice, inside.doc_id == twice.id, "left_semi").mapInArrow(_printed(shingle), _wider(docs)), "printed")
+    stay = found.where("kept and n_shingles > 0").join(twice, found.doc_id == twice.id, "left_semi").select(F.col("doc_id").alias("id"), "f1", "f2").distinct()
+    one = prints.where("_tesserae_1 is not null").dropDuplicates(["doc_id", "_tesserae_1", "_tesserae_2"])
+    one = one.join(stay, (one.doc_id == stay.id) & (one._tesserae_1 == stay.f1) & (one._tesserae_2 == stay.f2), "left_semi")
+    return kept.unionByName(one.unionByName(prints.where("_tesserae_1 is null")).select(*[F.col(f"`{c}`") for c in docs.columns]))
+
+
+def _wider(docs: DataFrame) -> StructType:
+    return StructType([*docs.schema.fields, StructField("_tesserae_1", LongType()), StructField("_tesserae_2", LongType())])
+
+
+def _printed(k: int):
+    """Rows with the prints of their sets; nulls where there are no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in slices(batches, "text"):
+            sets = [shingle_set(t, hashes, k) for t in text_bytes(b.column("text"))]
+            full = np.flatnonzero([len(s) > 0 for s in sets])
+            f = np.zeros((len(sets), 2), np.int64)
+            if len(full):
+                some = [sets[i] for i in full]
+                f[full] = _prints(np.concatenate(some), np.cumsum([0, *map(len, some[:-1])]))
+            blank = np.array([len(s) == 0 for s in sets], bool)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f[:, 0], mask=blank), pa.array(f[:, 1], mask=blank)], names=[*b.schema.names, "_tesserae_1", "_tesserae_2"])
+
+    return run
