@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+from .common import slices
+
 
 @dataclass(frozen=True)
 class Template:
@@ -64,7 +67,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 def _formatting(template: Template):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, seq, state, begun = None, 0, "start", False
-        for b in batches:
+        for b in slices(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for c, role, text in zip(*(b.column(x).to_pylist() for x in ("conv_id", "role", "text")), strict=True):
                 if not begun or c != conv:
@@ -88,8 +91,9 @@ def format_chats(conversations: DataFrame, template: Template | None = None) ->
     ("invalid" from the first turn out of order).  Cases: null texts are empty; null roles and roles that the
     template does not name are kept, written as JSON; null conv_ids form one conversation; turns are ordered by
     turn (nulls first), then role, then text, so ties and repeated rows have one order; other columns are
-    ignored; no rows give no rows.
+    ignored; no rows give no rows; texts of any length are whole, in batches of bounded bytes.
     """
+    ship(conversations.sparkSession)
     rows = conversations.select("conv_id", "turn", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return rows.mapInArrow(_formatting(template or Template()), TURNS)
 
@@ -107,7 +111,7 @@ def _reading(template: Template):
         def closed(x: list) -> tuple:
             return x[0], x[1], x[2].hexdigest(), x[3], x[4].hexdigest(), x[5], x[6] == "answered"
 
-        for b in batches:
+        for b in slices(batches, "segment"):
             done = []
             for c, segment, spans, state in zip(*(b.column(x).to_pylist() for x in ("conv_id", "segment", "spans", "state")), strict=True):
                 if now is None or now[0] != c:

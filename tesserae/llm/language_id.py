@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .common import fold, slices, text_bytes
 
-#: Expected documents a language in the sample that the model is fitted on (the only bound of the fit).
-FIT_DOCS = 3000
+#: Expected documents a language in the sample that the model is fitted on (the only bound of the fit), and languages
+#: that a model can tell apart; more raise ValueError.
+FIT_DOCS, LANGUAGES = 3000, 256
 BUCKETS, ORDERS = 1 << 16, (2, 3, 4)
 #: Scale and cut of a word's scores, penalty of a change of language, and of a language without the word's script.
 SCALE, CUT, SWITCH, FOREIGN = 0.4, 8.0, 6.0, 30.0
@@ -148,8 +150,16 @@ def _lowered(column: pa.Array) -> list[bytes | None]:
     return text_bytes(pc.utf8_lower(column))
 
 
-def labelled(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each lower-cased text."""
+def spans_of(label: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, label, first word, words) of each run of one label inside a document."""
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (of[1:] != of[:-1])])) if len(label) else np.zeros(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    return of[first], label[first], first - starts[of[first]], np.diff(np.concatenate([first, [len(label)]]))
+
+
+def labelled(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[float], list[list[dict]]]:
+    """Language, score and spans of each lower-cased text; a span has lang, first_word and n_words."""
     sizes, parts, weights = np.zeros(len(texts), np.int64), [], []
     group, held = [], 0
 
@@ -181,15 +191,19 @@ def labelled(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[f
     total = share.sum(1)
     best = share.argmax(1)
     names, points = [], []
+    spans: list[list[dict]] = [[] for _ in texts]
+    for d, x, at, n in zip(*(v.tolist() for v in spans_of(label, sizes)), strict=True):
+        spans[d].append({"lang": model.langs[x], "first_word": at, "n_words": n})
     for d, text in enumerate(texts):
         ascii_letter = total[d] > 0
         if not text or not ascii_letter and not any(c.isalpha() for c in text.decode()) or ascii_letter and not _has_letter(text):
             names.append("und")
             points.append(0.0)
+            spans[d] = []
         else:
             names.append(model.langs[best[d]])
             points.append(float(share[d, best[d]] / total[d]) if total[d] else 1.0 / langs)
-    return names, points
+    return names, points, spans
 
 
 def _has_letter(text: bytes) -> bool:
@@ -226,10 +240,12 @@ def _counts():
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """The model of the rows of ``docs`` with text and lang, from a sample of about ``fit_docs`` a language."""
     known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages are more than {LANGUAGES}")
     share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, fit_docs / sizes[lang])))])
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30))
     rows = sample.select("text", "lang").mapInArrow(_counts(), "lang string, kind string, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -249,14 +265,18 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     return Model(langs, tables, scripts)
 
 
+SPANS = "array<struct<lang:string,first_word:int,n_words:int>>"
+_SPANS = pa.list_(pa.struct([("lang", pa.string()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
+
+
 def _predicting(sent, extra: list[str], keep: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in slices(batches, "text", WALK):
             texts = _lowered(b.column("text"))
-            names, points = labelled(model, texts) if model else (["und"] * len(texts), [0.0] * len(texts))
+            names, points, spans = labelled(model, texts) if model else (["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts))
             if keep is None:
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(names, pa.string()), pa.array(points, pa.float64())], names=[*extra, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(names, pa.string()), pa.array(points, pa.float64()), pa.array(spans, _SPANS)], names=[*extra, "lang_pred", "score", "spans"])
             else:
                 yield b.filter(pa.array([n != "und" and p >= keep for n, p in zip(names, points, strict=True)], pa.bool_()))
 
@@ -264,22 +284,25 @@ def _predicting(sent, extra: list[str], keep: float | None):
 
 
 def _fitted(docs: DataFrame, fit_docs: int):
+    ship(docs.sparkSession)
     model = fit(docs.where(fold(F.col("doc_id")) != 0), fit_docs)
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def identify(docs: DataFrame, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text, lang).
-
-    Learns from rows whose crc32(doc_id) modulo 5 is not 0.  The broadcast model has 3 * 2**16 numbers a
-    language.  Cases: null texts and texts without a letter are ``und`` with score 0, and so is everything where
-    no row has a language; null langs teach nothing; null doc_ids teach nothing and are not held out; repeated
-    rows give repeated results; ties go to the language that sorts first; other columns are ignored.
+    """doc_id, held_out, lang_pred, score and spans of every row of ``docs`` (doc_id, text, lang).
+
+    Learns from rows whose crc32(doc_id) modulo 5 is not 0.  The broadcast model has 3 * 2**16 numbers a language,
+    of at most ``LANGUAGES``.  ``spans`` are the runs of words (by white space, from 0) that Viterbi gives one
+    language.  Cases: null texts and texts without a letter are ``und`` with score 0 and no span, and so is everything
+    where no row has a language; null langs teach nothing; null doc_ids teach nothing and are not held out; texts of
+    any length are walked whole, very long ones scored in parts; repeated rows give repeated results; ties go to the
+    language that sorts first; other columns are ignored; no rows give no rows.
     """
     rows = docs.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "text")
-    return rows.mapInArrow(_predicting(_fitted(docs, fit_docs), ["doc_id", "held_out"], None), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(_predicting(_fitted(docs, fit_docs), ["doc_id", "held_out"], None), f"doc_id long, held_out boolean, lang_pred string, score double, spans {SPANS}")
 
 
 def identified_only(docs: DataFrame, least: float = 0.3, fit_docs: int = FIT_DOCS) -> DataFrame:
-    """The rows of ``docs`` with a language that has at least the share ``least`` of the letters."""
+    """The rows of ``docs`` with a language that has at least the share ``least`` of the letters; cases as in ``identify``."""
     return docs.mapInArrow(_predicting(_fitted(docs, fit_docs), [], least), docs.schema)

@@ -3,7 +3,11 @@
 Texts are normalised to lower-case words of ASCII letters, digits and non-ASCII bytes.  For a template of m words
 every window of m words of a text is a candidate (a shorter text is one window).  Size bounds prune: a Dice
 coefficient of at least d needs so many bigrams of the template inside the window, and a running sum of such
-bigrams over the text, taken only where a text has that many at all, leaves few windows to compute exactly.
+bigrams over the text, taken only where a text has that many at all, leaves few windows to compute exactly.  Where
+the windows of two licences overlap, the one that is more alike counts.
+
+The set: Apache-2.0, MIT, ISC, BSD-2-Clause and BSD-3-Clause, MPL-2.0, GPL-2.0 and -3.0, LGPL-2.1 and -3.0, AGPL-3.0,
+three Creative Commons licences and the Unlicense, by their notices or standard headers, not by their full texts.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
 from .common import slices, text_bytes
 
 #: Licence notices by SPDX-like name.
@@ -23,11 +28,14 @@ TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
@@ -91,7 +99,11 @@ class Scanner:
                 dice = 2 * sum((inside & grams).values()) / (m + size)
                 if dice >= self.least and (name not in best or (-dice, at, size + 1) < (-best[name][0], best[name][1], best[name][2])):
                     best[name] = (dice, int(at), size + 1)
-        return [(n, *v) for n, v in sorted(best.items())]
+        apart: list[tuple[str, float, int, int]] = []
+        for name, (dice, at, size) in sorted(best.items(), key=lambda x: (-x[1][0], -x[1][2], x[0])):
+            if all(at + size <= a or a + n <= at for _, _, a, n in apart):
+                apart.append((name, dice, at, size))
+        return apart
 
 
 FOUND = "doc_id long, licence string, dice double, n_licences int, matches array<struct<licence:string,dice:double,first_word:int,n_words:int>>"
@@ -101,17 +113,20 @@ _MATCH = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), (
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): the best licence found, its Dice coefficient, and all matches.
 
-    Words of a text are those of its normalised form, over lines.  Ties go to the licence that sorts first, and
-    of a licence's windows to the leftmost, then the shorter.  Cases: null and empty texts match nothing
-    (licence null, dice 0); null doc_ids and repeated rows are rows like others; other columns are ignored.
+    Words of a text are those of its normalised form, over lines.  Matches stand in the order of their coefficients,
+    ties by more words, then by name; of overlapping windows the first in this order stays; of a licence's windows
+    the best, then the leftmost, then the shorter.  Cases: null and empty texts match nothing (licence null, dice 0);
+    texts of any length are scanned whole; null doc_ids and repeated rows are rows like others; other columns are
+    ignored; no rows give no rows.
     """
+    ship(docs.sparkSession)
     which = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(which, least)
         for b in slices(batches, "text"):
             found = [scanner.scan(t) if t else [] for t in text_bytes(b.column("text"))]
-            top = [min(f, key=lambda x: (-x[1], x[0])) if f else (None, 0.0) for f in found]
+            top = [f[0] if f else (None, 0.0) for f in found]
             rows = [[dict(zip(("licence", "dice", "first_word", "n_words"), x, strict=True)) for x in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([t[0] for t in top], pa.string()), pa.array([t[1] for t in top], pa.float64()), pa.array([len(f) for f in found], pa.int32()), pa.array(rows, _MATCH)], names=["doc_id", "licence", "dice", "n_licences", "matches"])
 
