@@ -1,4 +1,8 @@
-"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, source mixing, packing."""
+"""Corpus pipeline over ``documents``: language ID, near-duplicate removal, source mixing, packing.
+
+Cases, for every stage: nulls in any column, empty and very long texts, repeated rows and tables without rows are
+taken, as the operators' docstrings say; columns of any name come through the first three stages unchanged.
+"""
 
 from __future__ import annotations
 
@@ -13,25 +17,28 @@ from tesserae.shipping import ship
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts in which no language has three tenths of the letters."""
+    """Drops texts without a letter (null and empty ones too) and texts in which no language has three tenths of the letters."""
     ship(spark)
     return identified_only(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: sets of five words, at 0.8 or more.
+
+    Rows without a doc_id or without words stay; of rows alike in doc_id and words one stays.
+    """
     ship(spark)
-    return without_near_duplicates(docs)
+    return without_near_duplicates(docs, shingle=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many tokens as there are, with sources flattened until the most repeated one is seen 1.25 times."""
+    """As many tokens as there are, with sources flattened until the most repeated one is seen 1.25 times; null sources are one."""
     ship(spark)
     return mix(docs, repetition=1.25)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces with their bins; repeats of a document are one cluster and never share a bin."""
+    """Pieces with their bins; repeats of a document are one cluster and never share a bin; an empty text is its end token."""
     ship(spark)
     return pack(docs)
 
