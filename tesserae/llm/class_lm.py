@@ -173,8 +173,8 @@ def _contexts(sent, v: int, kinds: int):
             pairs += np.bincount(c[:-1].astype(np.int64) * kinds + c[1:], minlength=len(pairs))
             pos = np.flatnonzero(x > 0)
             at = (x[pos].astype(np.int64) - 1) * (2 * kinds)
-            np.add.at(sums, at + c[pos + 1], 1)
-            np.add.at(sums, at + kinds + c[pos - 1], 1)
+            np.add.at(sums, at + c[pos + 1], np.int32(1))
+            np.add.at(sums, at + kinds + c[pos - 1], np.int32(1))
         yield pa.RecordBatch.from_pydict({"part": pa.array([-1]), "sums": pa.array([pairs.tobytes()], pa.binary())})
         step = PART * 2 * kinds
         for i in range(0, len(sums), step):
