@@ -162,17 +162,21 @@ SUMS = "part long, sums binary"
 
 
 def _contexts(sent, v: int, kinds: int):
-    """For each part of the numbered words the counts of the classes after and before each of them; as part -1 those of class bigrams."""
+    """For each part of the numbered words the counts of the classes after and before each of them; as part -1 those of class bigrams.
+
+    Words are dealt to the parts in turn, so that each has its share of the frequent ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = sent.value
-        sums, pairs = np.zeros(v * 2 * kinds, np.int32), np.zeros(kinds * kinds, np.int64)
+        of, parts = sent.value, -(-v // PART)
+        slot = np.arange(v) % parts * PART + np.arange(v) // parts
+        sums, pairs = np.zeros(parts * PART * 2 * kinds, np.int32), np.zeros(kinds * kinds, np.int64)
         for b in slices(batches, "ids"):
             x = _flat(b)
             c = of[x]
             pairs += np.bincount(c[:-1].astype(np.int64) * kinds + c[1:], minlength=len(pairs))
             pos = np.flatnonzero(x > 0)
-            at = (x[pos].astype(np.int64) - 1) * (2 * kinds)
+            at = slot[x[pos] - 1] * (2 * kinds)
             np.add.at(sums, at + c[pos + 1], np.int32(1))
             np.add.at(sums, at + kinds + c[pos - 1], np.int32(1))
         yield pa.RecordBatch.from_pydict({"part": pa.array([-1]), "sums": pa.array([pairs.tobytes()], pa.binary())})
@@ -215,6 +219,7 @@ def _moves(sent, kinds: int, classes: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, pairs = sent.value
+        parts = -(-(len(of) - 2) // PART)
         after, before = _gains(pairs, classes)
         row, col = pairs.sum(1) + 0.5 * kinds, pairs.sum(0) + 0.5 * kinds
         for b in batches:
@@ -222,7 +227,7 @@ def _moves(sent, kinds: int, classes: int):
                 seen = np.zeros(PART * 2 * kinds, np.int64)
                 _add_packed(blob, seen)
                 seen = seen.reshape(PART, 2, kinds)
-                now = of[1 + part * PART : min(1 + (part + 1) * PART, len(of) - 1)]
+                now = of[1 + part : -1 : parts]
                 seen = seen[: len(now)]
                 gain = seen[:, 0] @ after.T + seen[:, 1] @ before
                 mine = np.flatnonzero(now < classes)
@@ -409,8 +414,7 @@ class ClassModel:
                 self.scratch.drop(f"seen_{k}")
                 break
             for r in seen.where("part >= 0").mapInArrow(_moves(send((self.of, pairs)), self.kinds, self.classes), "part long, best binary").collect():
-                x = np.frombuffer(r.best, np.int16)
-                self.of[1 + r.part * PART : 1 + r.part * PART + len(x)] = x
+                self.of[1 + r.part : -1 : -(-v // PART)] = np.frombuffer(r.best, np.int16)
             self.scratch.drop(f"seen_{k}")
         self.of = best[1]
         return best[2]
