@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 #: Tokens of a bin; documents of a shard; the share of a bin that may stay empty; pieces that meet in a second packing.
-CAPACITY, SHARD_DOCS, SLACK, SECOND = 2048, 2048, 0.02, 8192
+CAPACITY, SHARD_DOCS, SLACK, SECOND = 2048, 2048, 0.1, 8192
 #: Bins of the second packing have this bit.
 AGAIN = 1 << 62
 WIDE = "doc_id long, piece int, token_start long, n_tokens int, bin_id long, bin_offset int, source string, cluster long, used int"
