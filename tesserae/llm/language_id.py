@@ -30,7 +30,7 @@ SCALE, CUT, SWITCH, FOREIGN = 0.4, 8.0, 6.0, 30.0
 #: Least share of a language's letters that makes a script one of its own.
 OWN_SCRIPT = 0.01
 #: Bytes scored together, and bytes of the texts that walk together.
-CHUNK, WALK = 1 << 19, 6 << 20
+CHUNK, WALK = 1 << 18, 4 << 20
 #: First code points of scripts outside Latin, by Unicode block; "" where letters go back to Latin.
 SCRIPTS = [
     (0x000, ""), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Syriac"), (0x780, "Thaana"),
@@ -158,7 +158,7 @@ def spans_of(label: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of[first], label[first], first - starts[of[first]], np.diff(np.concatenate([first, [len(label)]]))
 
 
-def labelled(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[float], list[list[dict]]]:
+def labelled(model: Model, texts: list[bytes | None], with_spans: bool = True) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, score and spans of each lower-cased text; a span has lang, first_word and n_words."""
     sizes, parts, weights = np.zeros(len(texts), np.int64), [], []
     group, held = [], 0
@@ -192,7 +192,7 @@ def labelled(model: Model, texts: list[bytes | None]) -> tuple[list[str], list[f
     best = share.argmax(1)
     names, points = [], []
     spans: list[list[dict]] = [[] for _ in texts]
-    for d, x, at, n in zip(*(v.tolist() for v in spans_of(label, sizes)), strict=True):
+    for d, x, at, n in zip(*(v.tolist() for v in spans_of(label, sizes)), strict=True) if with_spans else ():
         spans[d].append({"lang": model.langs[x], "first_word": at, "n_words": n})
     for d, text in enumerate(texts):
         ascii_letter = total[d] > 0
@@ -274,7 +274,7 @@ def _predicting(sent, extra: list[str], keep: float | None):
         model = sent.value
         for b in slices(batches, "text", WALK):
             texts = _lowered(b.column("text"))
-            names, points, spans = labelled(model, texts) if model else (["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts))
+            names, points, spans = labelled(model, texts, keep is None) if model else (["und"] * len(texts), [0.0] * len(texts), [[]] * len(texts))
             if keep is None:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(names, pa.string()), pa.array(points, pa.float64()), pa.array(spans, _SPANS)], names=[*extra, "lang_pred", "score", "spans"])
             else:
