@@ -76,6 +76,38 @@ def windows(ids: Column, block: int, stride: int, pad: int) -> Column:
     return F.transform(starts, window)
 
 
+def mask(ids: Column, n: int) -> Column:
+    """1 for each of the first n elements, 0 for what ``padded`` fills in."""
+    return padded(F.transform(F.slice(ids, 1, n), lambda x: F.lit(1)), n, 0)
+
+
+def prompt(prefix: str, text: Column, end: str = "") -> Column:
+    return F.concat(F.lit(prefix), text, F.lit(end))
+
+
+def target_text(target: Column, answers: Column, choice: Column, end: str = " </s>") -> Column:
+    """The target and the end mark; without a target the answer that ``choice`` picks; without answers null."""
+    picked = F.when(F.size(answers) > 0, F.element_at(answers, (F.pmod(choice, F.size(answers)) + 1).cast("int")))
+    return F.concat(F.coalesce(target, picked), F.lit(end))
+
+
+def block_size(model_max: Column, most: int = 1024) -> Column:
+    return F.least(model_max, F.lit(most))
+
+
+def truncated(ids: Column, n: int, mode: str) -> Column:
+    """What is left of a sequence beside the special tokens: the head of n - 4 for an encoder, the tail of n - 3 for a
+    decoder, the head of n - 5 for both."""
+    if mode == "decoder":
+        return F.when(F.size(ids) > n - 3, F.slice(ids, -(n - 3), n - 3)).otherwise(ids)
+    return F.slice(ids, 1, n - {"encoder": 4, "encoder_decoder": 5}[mode])
+
+
+def perplexity(mean_loss: Column) -> Column:
+    """exp, infinite where it overflows."""
+    return F.exp(mean_loss)
+
+
 def warm_up(step: Column, warm: int, total: int, low: float) -> Column:
     """Linear warm-up from ``low`` to 1, then linear decay to ``low`` at ``total``."""
     up = (1 - low) * step / warm + low

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import PRELUDE, edges, nodes, seeds, table
 from ..functions import text as T
+from ..operators import answers as A
 from ..operators import expand as X
 from ..operators import gnn as N
 from ..operators import graph as G
@@ -17,6 +18,7 @@ from ..operators import sampling as M
 from ..operators import search as V
 from ..operators import sketch as H
 from ..operators import subgraph as S
+from ..operators.numbering import numbered
 from ..scratch import materialised
 from ..sources import code as P
 from ..sources import records as R
@@ -69,10 +71,9 @@ def knn_lm_interpolation(s, d):
     """Labels as tokens: their shares are the language model, the nearest nodes' labels the datastore."""
     n = nodes(s, d)
     near = V.top_k(V.scores(_seed_queries(s, d), n, "euclidean"), 8, True).join(n.select("idx", F.col("label").alias("token")), "idx").select("query", "token", F.col("score").alias("dist"))
-    share = n.groupBy("label").count().collect()  # the ten labels
-    total = sum(r["count"] for r in share)
-    each = F.array(*[F.struct(F.lit(r.label).alias("token"), F.lit(r["count"] / total).alias("p")) for r in share])
-    lm = seeds(s, d).select(F.col("idx").alias("query"), F.inline(each))
+    per = n.groupBy(F.col("label").alias("token")).agg(F.count("*").alias("n"))
+    share = per.join(per.agg(F.sum("n").alias("total"))).select(F.collect_list(F.struct("token", (F.col("n") / F.col("total")).alias("p"))).over(Window.partitionBy(F.lit(0))).alias("share")).limit(1)
+    lm = seeds(s, d).select(F.col("idx").alias("query")).join(F.broadcast(share)).select("query", F.inline("share"))
     return V.knn_lm(lm, near).withColumn("p", F.round("p", 6))
 
 
@@ -123,27 +124,19 @@ def accuracy_batch_mean(s, d):
     return h.groupBy("batch").agg(F.avg("hit50").alias("acc"), F.sum("hit50").alias("hits"), F.count("*").alias("n")).agg(F.round(F.avg("acc"), 6).alias("batch_mean"), F.round(F.sum("hits") / F.sum("n"), 6).alias("plain"))
 
 
-@query(COS + ", rk as (select query, idx, row_number() over (partition by query order by score desc, idx) as r from sc where ql = bl and idx % 7 = 0), m as (select query, least(max(r), 10) as m from rk group by query), w as (select query, unnest(range(1, 11)) as place, m from m) select w.query, cast(place as int) as place, idx from w join rk on rk.query = w.query and rk.r = (place - 1) % m + 1")
+@query(COS + ", rk as (select query, idx, row_number() over (partition by query order by score desc, idx) as r from sc where ql = bl), m as (select query, least(max(r), 10) as m from rk group by query), w as (select query, unnest(range(1, 11)) as place, m from m) select w.query, cast(place as int) as place, idx from w join rk on rk.query = w.query and rk.r = (place - 1) % m + 1")
 def rerank_pad_contexts(s, d):
-    lab = nodes(s, d).select("idx", "label")
-    same = _cos(s, d).where("idx % 7 = 0").join(lab.withColumnRenamed("label", "bl"), "idx").join(lab.select(F.col("idx").alias("query"), F.col("label").alias("ql")), "query").where("ql = bl").select("query", "idx", "score")
-    return V.pad_by_cycling(V.top_k(same, 10, False), 10)
-
-
-@query()
-def rerank_pad_contexts_whole(s, d):
     lab = nodes(s, d).select("idx", "label")
     same = _cos(s, d).join(lab.withColumnRenamed("label", "bl"), "idx").join(lab.select(F.col("idx").alias("query"), F.col("label").alias("ql")), "query").where("ql = bl").select("query", "idx", "score")
     return V.pad_by_cycling(V.top_k(same, 10, False), 10)
 
 
-@query("select item_id, list(doc_id order by n_chars desc, doc_id)[1:5] as top from benchmark join documents on doc_id % 40 = item_id % 40 group by item_id", False)
+@query("select source, list(doc_id order by n_chars desc, doc_id)[1:5] as top from documents group by source", False)
 def passages_sorted_topn(s, d):
-    b = table(s, d, "benchmark").select("item_id", (F.col("item_id") % 40).alias("m"))
-    p = table(s, d, "documents").select("doc_id", "n_chars", (F.col("doc_id") % 40).alias("m"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("n_chars"), "doc_id")
-    best = b.join(p, "m").withColumn("r", F.row_number().over(w)).where("r <= 5")
-    return best.groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "doc_id"))), lambda x: x["doc_id"]).alias("top"))
+    """The five longest passages of every source, in order."""
+    w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
+    best = table(s, d, "documents").select("source", "doc_id", "n_chars").withColumn("r", F.row_number().over(w)).where("r <= 5")
+    return best.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "doc_id"))), lambda x: x["doc_id"]).alias("top"))
 
 
 BFS = ", bfs(center, idx, hop) as (select idx, idx, 0 from seeds union select b.center, u.b, b.hop + 1 from bfs b join und u on u.a = b.idx where b.hop < {r}), near as (select center, idx, min(hop) as hop from bfs group by center, idx)"
@@ -168,19 +161,19 @@ PATHS = ", st as (select src as a, dst as b, etype from edges union all select d
 PATTERN_ROWS = ", pat(node_type, pattern) as (values " + ", ".join(f"({t}, '{p}')" for t, ps in X.PATTERNS.items() for p in sorted(set(ps))) + ")"
 
 
-@query(PATHS.format(n=3) + " select center, path, types from paths")
+@query(PATHS.format(n=4) + " select center, path, types from paths")
 def simple_paths(s, d):
-    return X.simple_paths(seeds(s, d), edges(s, d), 3)
+    return X.simple_paths(seeds(s, d), edges(s, d), 4)
 
 
-@query(PATHS.format(n=3) + PATTERN_ROWS + " select distinct center, unnest(path) as idx from paths join nodes on nodes.idx = center join pat on pat.node_type = nodes.node_type and pat.pattern = types where n > 0")
+@query(PATHS.format(n=4) + PATTERN_ROWS + " select distinct center, unnest(path) as idx from paths join nodes on nodes.idx = center join pat on pat.node_type = nodes.node_type and pat.pattern = types where n > 0")
 def pattern_expand_intended(s, d):
-    return X.pattern_expand(seeds(s, d), nodes(s, d), edges(s, d), 3, "intended")
+    return X.pattern_expand(seeds(s, d), nodes(s, d), edges(s, d), 4, "intended")
 
 
-@query(PATHS.format(n=3) + PATTERN_ROWS + " select distinct center, unnest(path) as idx from paths join nodes on nodes.idx = center join pat on pat.node_type = nodes.node_type and pat.pattern = right(types, 1) where n > 0")
+@query(PATHS.format(n=4) + PATTERN_ROWS + " select distinct center, unnest(path) as idx from paths join nodes on nodes.idx = center join pat on pat.node_type = nodes.node_type and pat.pattern = right(types, 1) where n > 0")
 def pattern_expand_as_coded(s, d):
-    return X.pattern_expand(seeds(s, d), nodes(s, d), edges(s, d), 3, "last_edge")
+    return X.pattern_expand(seeds(s, d), nodes(s, d), edges(s, d), 4, "last_edge")
 
 
 def _members(s, d, radius=1):
@@ -310,16 +303,49 @@ def random_sampling(s, d):
     return M.random_roots(seeds(s, d), 0.5)
 
 
+def _graph_members(s, d):
+    """Neighbourhoods of the nodes of a stand-in repo (a hundred numbers), and its edges."""
+    repo = lambda c: F.floor(F.col(c) / 100)
+    e = edges(s, d).where(repo("src") == repo("dst")).withColumn("graph", repo("src"))
+    own = nodes(s, d).select(repo("idx").alias("graph"), F.col("idx").alias("sg"), "idx")
+    near = e.select("graph", F.col("src").alias("sg"), F.col("dst").alias("idx")).union(e.select("graph", "dst", "src"))
+    return own.union(near).distinct(), e
+
+
 @query()
 def min_set_cover(s, d):
-    got = M.set_cover(materialised(_members(s, d)))
-    return s.createDataFrame([(i, x) for i, x in enumerate(got)], "place int, sg long")
+    return M.set_cover(_graph_members(s, d)[0])
 
 
 @query()
 def shortest_path_sampling(s, d):
-    got = M.farthest_roots(materialised(_members(s, d)), materialised(edges(s, d)), 3, 0)
-    return s.createDataFrame([(i, x) for i, x in enumerate(got)], "place int, sg long")
+    return M.farthest_roots(*_graph_members(s, d), 3, 0)
+
+
+GM = ", ge as (select distinct src // 100 as graph, src, dst from edges where src // 100 = dst // 100), gm as (select idx // 100 as graph, idx as sg, idx from nodes union select graph, src, dst from ge union select graph, dst, src from ge)"
+
+
+@query(GM + " select graph, sg from (select graph, sg, row_number() over (partition by graph order by (sg * 48271 + 16807) % 2147483647, sg) as r, count(*) over (partition by graph) as n from (select distinct graph, sg from gm)) where r <= floor(n * 0.5)")
+def subsampled_random(s, d):
+    """The dispatcher's random mode, graph by graph."""
+    return M.sampled("random", *_graph_members(s, d))
+
+
+@query(GM + ", ch as (select graph, sg from (select graph, sg, row_number() over (partition by graph order by (sg * 48271 + 16807) % 2147483647, sg) as r, count(*) over (partition by graph) as n from (select distinct graph, sg from gm)) where r <= floor(n * 0.5)) select graph, round(count(*) / count(distinct sg), 6) as scale from gm join ch using (graph, sg) group by graph")
+def subgraphs_transform_scale(s, d):
+    """Extract, sample and combine: the scale of each graph."""
+    return M.transformed(*_graph_members(s, d), mode="random")[1].withColumn("scale", F.round("scale", 6))
+
+
+@query("select item_id, split(text, ' ')[(item_id * 48271 + 16807) % 2147483647 % len(split(text, ' ')) + 1] as answer from benchmark", False)
+def random_answer(s, d):
+    b = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("answers"))
+    return M.answer_choice(b, "item_id", "answers").select("item_id", "answer")
+
+
+@query("select doc_id, (row_number() over (order by (doc_id * 48271 + 16807) % 2147483647, doc_id) - 1) // 64 as batch from documents", False)
+def mini_batches(s, d):
+    return M.mini_batches(table(s, d, "documents").select("doc_id"), "doc_id", 64)
 
 
 @query(GOLD + ", pool as (select a.idx as query, b.idx from nodes a join nodes b on a.file_id = b.file_id left join gold g on g.query = a.idx where a.idx % 50 = 0 and (gold is null or b.idx <> gold)) select query, idx from (select *, row_number() over (partition by query order by ((idx + query) * 48271 + 16807) % 2147483647, idx) as rn from pool) where rn <= 5")
@@ -401,14 +427,8 @@ def fuzzy_contains_first(s, d):
     return J.contains_first(_names(s, d), nodes(s, d))
 
 
-@query(", nm as (select idx, concat('C', idx % 7, '.m', idx % 13) as name from nodes where idx % 3 = 0) select n.name as node, min(nm.idx) as idx from nodes n join nm on ends_with(n.name, nm.name) group by n.name")
+@query(", nm as (select idx, concat('C', idx % 7, '.m', idx % 13) as name from nodes) select n.name as node, min(nm.idx) as idx from nodes n join nm on ends_with(n.name, nm.name) group by n.name")
 def fuzzy_suffix_first(s, d):
-    nm = nodes(s, d).where("idx % 3 = 0").select("idx", F.concat(F.lit("C"), (F.col("idx") % 7).cast("string"), F.lit(".m"), (F.col("idx") % 13).cast("string")).alias("name"))
-    return J.suffix_first(nodes(s, d).select(F.col("name").alias("node")), nm)
-
-
-@query()
-def fuzzy_suffix_first_whole(s, d):
     nm = nodes(s, d).select("idx", F.concat(F.lit("C"), (F.col("idx") % 7).cast("string"), F.lit(".m"), (F.col("idx") % 13).cast("string")).alias("name"))
     return J.suffix_first(nodes(s, d).select(F.col("name").alias("node")), nm)
 
@@ -512,8 +532,9 @@ SEG = ", seg(idx, seg) as (values (1, 'the'), (2, 'an'), (3, 'ou'), (4, 'zzz'))"
 @query(SEG + ", o as (select doc_id as sample, idx, (length(text) - length(replace(text, seg, ''))) / length(seg) as n from documents, seg) select sample, cast(idx as bigint) as idx, round(n / sum(n) over (partition by sample), 6) as weight from o where n > 0")
 def called_import_weights(s, d):
     docs = table(s, d, "documents").select(F.col("doc_id").alias("sample"), F.col("text").alias("code"))
-    names = s.createDataFrame([(1, "x.the"), (2, "y.an"), (3, "ou"), (4, "zzz")], "idx long, name string")
-    each = docs.select("sample", F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(n).alias("name")) for i, n in ((r.idx, r.name) for r in names.collect())])).alias("e")).select("sample", "e.*")
+    # every sample imports the same four names
+    imported = F.array(*[F.struct(F.lit(i).cast("long").alias("idx"), F.lit(n).alias("name")) for i, n in ((1, "x.the"), (2, "y.an"), (3, "ou"), (4, "zzz"))])
+    each = docs.select("sample", F.inline(imported))
     return J.call_weights(docs, each).withColumn("weight", F.round("weight", 6))
 
 
@@ -580,19 +601,14 @@ def in_set(s, d):
     return nodes(s, d).select("idx").join(edges(s, d).where("etype = 3").select(F.col("dst").alias("idx")), "idx", "left_semi")
 
 
-@query("select doc_id, text from documents where source = 'src1' order by doc_id limit 1", False)
+@query("select source, min(doc_id) as doc_id, arg_min(text, doc_id) as text from documents group by source", False)
 def file_lookup(s, d):
-    return table(s, d, "documents").where("source = 'src1'").select("doc_id", "text").orderBy("doc_id").limit(1)
+    """The first document of every source, with its text."""
+    return table(s, d, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
 
 
-@query("select user_id, key, value from (select user_id, unnest(json_keys(props)) as key, props from events where event_id % 50 = 0), lateral (select json_extract_string(props, concat('$.', key)) as value)", False)
+@query("select user_id, key, value from (select user_id, unnest(json_keys(props)) as key, props from events), lateral (select json_extract_string(props, concat('$.', key)) as value)", False)
 def json_edges(s, d):
-    e = table(s, d, "events").where("event_id % 50 = 0")
-    return e.select("user_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
-
-
-@query()
-def json_edges_whole(s, d):
     e = table(s, d, "events")
     return e.select("user_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
@@ -607,41 +623,45 @@ def fid_load_defaults(s, d):
 TOK = r"list_transform(regexp_extract_all(text, '([\p{L}\p{N}\p{M}]+)|([^\p{Z}\p{C}])'), lambda x: lower(x))"
 
 
-@query(f"select doc_id, {TOK} as tokens from documents where doc_id % 5 = 0", False)
+@query(f"select doc_id, {TOK} as tokens from documents", False)
 def tokenize(s, d):
-    return table(s, d, "documents").where("doc_id % 5 = 0").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    return table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
-@query()
-def tokenize_whole(s, d):
-    return table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+ANSWERS = f"with t as (select doc_id, ' ' || array_to_string({TOK}, ' ') || ' ' as t from documents), b as (select item_id, ' ' || array_to_string({TOK}, ' ') || ' ' as a from benchmark), hit as (select item_id, doc_id from b join t on contains(t.t, b.a))"
 
 
-@query(f"with t as (select doc_id, {TOK} as t, text from documents) select b.item_id, t.doc_id from benchmark b join t on t.doc_id % 40 = b.item_id % 40 where contains(' ' || array_to_string(t.t, ' ') || ' ', ' ' || array_to_string(list_slice({TOK.replace('text', 'b.text')}, 1, 3), ' ') || ' ')", False)
+def _answers(s, d, normal=False):
+    """(item_id, doc_id) of all items and all documents whose tokens hold the item's in one run."""
+    text = R.nfd(F.col("text")) if normal else F.col("text")
+    b, t = table(s, d, "benchmark").select("item_id", T.tokens(text).alias("answer")), table(s, d, "documents").select("doc_id", T.tokens(text).alias("t"))
+    return A.answer_hits(b, t)
+
+
+@query(ANSWERS + " select * from hit", False)
 def has_answer(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.array(F.slice(T.tokens(F.col("text")), 1, 3)).alias("answers"), (F.col("item_id") % 40).alias("m"))
-    t = table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"), (F.col("doc_id") % 40).alias("m"))
-    return b.join(t, "m").where(T.has_answer(F.col("answers"), F.col("t"))).select("item_id", "doc_id")
+    return _answers(s, d)
 
 
 @query()
-def has_answer_whole(s, d):
-    """All items with all documents: runs of as many tokens as an answer has are exploded into a hash join."""
-    b = table(s, d, "benchmark").select("item_id", F.slice(T.tokens(F.col("text")), 1, 3).alias("answer")).withColumn("m", F.size("answer"))
-    t = table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("t"))
-    runs = t.where("size(t) > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.least(F.size("t"), F.lit(3)))).alias("m"), "t").where("m <= size(t)")
-    runs = runs.select("doc_id", "m", F.explode(F.transform(F.sequence(F.lit(1), F.size("t") - F.col("m") + 1), lambda i: F.slice("t", i, F.col("m")))).alias("answer"))
-    empty = b.where("m = 0").select("item_id").crossJoin(t.select("doc_id"))
-    return runs.join(F.broadcast(b.where("m > 0")), ["m", "answer"]).select("item_id", "doc_id").distinct().unionByName(empty)
+def has_answer_nfd(s, d):
+    """As ``has_answer`` after canonical decomposition of both sides, which DuckDB lacks."""
+    return _answers(s, d, True)
 
 
-@query("with h as (select b.item_id, min(d.doc_id // 40) as pos from benchmark b join documents d on d.doc_id % 40 = b.item_id % 40 and contains(d.text, left(b.text, 12)) group by b.item_id), k as (select unnest([1, 3, 5, 10, 20]) as k) select k, count(pos) filter (where pos < k) as hits from k cross join h group by k", False)
+@query(ANSWERS + ", n as (select count(*) as n from documents), k as (select unnest(range(1, (select n + 1 from n))) as k), p as (select item_id, count(*) filter (where d.doc_id < h.first) + 1 as place from (select item_id, min(doc_id) as first from hit group by item_id) h, documents d group by item_id) select cast(k.k as bigint) as k, count(p.place) as hits from k left join p on p.place <= k.k where k.k in (1, 3, 5, 10, 20, 50, 100, 200, 500, 1000) group by k.k", False)
 def topk_hits(s, d):
-    b = table(s, d, "benchmark").select("item_id", F.substring("text", 1, 12).alias("a"), (F.col("item_id") % 40).alias("m"))
-    t = table(s, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("m"))
-    pos = b.join(t, "m").where(F.contains("text", F.col("a"))).groupBy("item_id").agg(F.min(F.floor(F.col("doc_id") / 40)).alias("pos"))
-    ks = pos.select("pos", F.explode(F.array(*map(F.lit, (1, 3, 5, 10, 20)))).alias("k"))
-    return ks.groupBy("k").agg(F.count_if(F.col("pos") < F.col("k")).alias("hits"))
+    """Of how many items an answer stands among the first k documents, by number."""
+    docs = table(s, d, "documents").select("doc_id")
+    first = _answers(s, d).groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    return A.hits_by_k(first, numbered(docs, "doc_id"), [1, 3, 5, 10, 20, 50, 100, 200, 500, 1000])
+
+
+@query(ANSWERS + ", p as (select doc_id, row_number() over (order by doc_id) - 1 as i from documents) select h.item_id, list(p.i order by p.i) as places from hit h join p using (doc_id) group by h.item_id", False)
+def answer_hits(s, d):
+    """The places of each item's answers in the order of the documents: what top-k hits are counted from."""
+    places = numbered(table(s, d, "documents").select("doc_id"), "doc_id")
+    return _answers(s, d).join(places, "doc_id").groupBy("item_id").agg(F.sort_array(F.collect_list("nr")).alias("places"))
 
 
 _BARE = r"""' ' || translate(lower({x}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', '') || ' '"""
@@ -673,44 +693,44 @@ def retriever_scores(s, d):
     return p.groupBy("g").agg(F.round(F.avg(F.when(F.col("place") <= 5, (F.col("gold") < 5).cast("int"))), 6).alias("top5"), F.max(F.when(F.col("gold") < 5, F.col("place"))).alias("need5"))
 
 
-SETS = "with t as (select item_id, list_distinct(string_split(lower(text), ' ')) as w, left(text, 60) as s from benchmark)"
+SETS = "with t as (select item_id, list_distinct(string_split(lower(text), ' ')) as w, text as s from benchmark)"
 
 
-def _pairs(s, d, whole=False):
-    """Pairs of items; of equal item_id modulo 8, as the SQL has it, or ``whole``: all."""
-    m = F.lit(0) if whole else F.col("item_id") % 8
-    b = table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.col("text").alias("s"), m.alias("m"))
-    x, y = (b.select(F.col("item_id").alias(k), F.col("w").alias(f"w{k}"), F.col("s").alias(f"s{k}"), F.col("m").alias(f"m{k}")) for k in "ab")
-    return x.join(y, F.col("a") < F.col("b")) if whole else x.join(y, F.col("ma") == F.col("mb")).where("a < b")
+def _bags(s, d):
+    return table(s, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.col("text").alias("s"))
 
 
-@query(SETS + " select x.item_id as a, y.item_id as b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) as jac from t x join t y on x.item_id % 8 = y.item_id % 8 and x.item_id < y.item_id", False)
+@query(SETS + " select x.item_id as a, y.item_id as b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(list_concat(x.w, y.w))), 6) as jac from t x join t y on x.item_id < y.item_id where len(list_intersect(x.w, y.w)) > 0", False)
 def jaccard_lexical(s, d):
-    return _pairs(s, d).select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jac"))
+    """Of all pairs of items that share a word; the others' is 0."""
+    return A.shared_word_jaccard(_bags(s, d)).withColumn("jac", F.round("jac", 6))
 
 
-@query()
-def jaccard_lexical_whole(s, d):
-    return _pairs(s, d, True).select("a", "b", F.round(T.jaccard(F.col("wa"), F.col("wb")), 6).alias("jac"))
+@query(SETS + " select x.item_id as a, y.item_id as b, round(1 - levenshtein(x.s, y.s) / greatest(length(x.s), length(y.s)), 6) as sim from t x join t y on x.item_id < y.item_id where strlen(x.s) = length(x.s) and strlen(y.s) = length(y.s)", False)
+def edit_similarity(s, d):
+    """Of all pairs of items in ASCII, whose characters both engines count alike."""
+    plain = _bags(s, d).where(F.octet_length("s") == F.length("s")).select("item_id", "s")
+    return plain.select(F.col("item_id").alias("a"), F.col("s").alias("sa")).join(plain.select(F.col("item_id").alias("b"), F.col("s").alias("sb")), F.col("a") < F.col("b")).select("a", "b", F.round(T.edit_similarity(F.col("sa"), F.col("sb")), 6).alias("sim"))
 
 
 @query()
-def edit_similarity(s, d):
-    return _pairs(s, d, True).select("a", "b", F.round(T.edit_similarity(F.col("sa"), F.col("sb")), 6).alias("sim"))
+def edit_similarity_all(s, d):
+    """Of all pairs of items."""
+    b = _bags(s, d).select("item_id", "s")
+    return b.select(F.col("item_id").alias("a"), F.col("s").alias("sa")).join(b.select(F.col("item_id").alias("b"), F.col("s").alias("sb")), F.col("a") < F.col("b")).select("a", "b", F.round(T.edit_similarity(F.col("sa"), F.col("sb")), 6).alias("sim"))
 
 
-@query("select item_id, 'code: ' || left(text, 40) as code, 'context: ' || right(text, 20) || ' </s>' as context from benchmark", False)
+@query("select item_id, 'code: ' || text as code, 'context: ' || reverse(text) || ' </s>' as context from benchmark", False)
 def format_prompts(s, d):
-    return table(s, d, "benchmark").select("item_id", F.concat(F.lit("code: "), F.substring("text", 1, 40)).alias("code"), F.concat(F.lit("context: "), F.expr("right(text, 20)"), F.lit(" </s>")).alias("context"))
+    return table(s, d, "benchmark").select("item_id", T.prompt("code: ", F.col("text")).alias("code"), T.prompt("context: ", F.reverse("text"), " </s>").alias("context"))
 
 
-IDS = "with t as (select doc_id, list_transform(string_split(left(text, 4000), ' '), lambda x: cast(length(x) as int)) as ids from documents)"
+IDS = "with t as (select doc_id, list_transform(string_split(text, ' '), lambda x: cast(length(x) as int)) as ids from documents)"
 
 
-def _ids(s, d, whole=False):
-    """Word lengths; of the first 4000 characters, as the SQL has it, or of the ``whole`` text."""
-    text = F.col("text") if whole else F.substring("text", 1, 4000)
-    return table(s, d, "documents").select("doc_id", F.transform(F.split(text, " "), F.length).alias("ids"))
+def _ids(s, d):
+    """Word lengths in place of token numbers."""
+    return table(s, d, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"))
 
 
 @query(IDS + " select doc_id, list_concat(ids[1:64], list_transform(range(0, greatest(64 - len(ids), 0)), lambda x: 0)) as ids, list_concat(ids[1:64], list_transform(range(0, greatest(64 - len(ids), 0)), lambda x: -100)) as labels from t", False)
@@ -718,11 +738,6 @@ def pad_mask(s, d):
     return _ids(s, d).select("doc_id", T.padded(F.col("ids"), 64, 0).alias("ids"), T.padded(F.col("ids"), 64, -100).alias("labels"))
 
 
-@query()
-def pad_mask_whole(s, d):
-    return _ids(s, d, True).select("doc_id", T.padded(F.col("ids"), 64, 0).alias("ids"), T.padded(F.col("ids"), 64, -100).alias("labels"))
-
-
 WIN = IDS + ", l as (select doc_id, ids, case when len(ids) >= 64 then len(ids) // 64 * 64 else len(ids) end as n from t), i as (select *, unnest(range(0, n, 32)) as i from l), w as (select doc_id, i, ids[greatest(i + 32 - 64, 0) + 1 : least(i + 32, n)] as x, least(i + 32, n) - i as fresh from i)"
 
 
@@ -731,23 +746,12 @@ def token_windows(s, d):
     return _ids(s, d).select("doc_id", F.posexplode(T.windows(F.col("ids"), 64, 32, 0)).alias("k", "w")).select("doc_id", (F.col("k") * 32).cast("long").alias("i"), "w.input_ids", "w.labels")
 
 
-@query()
-def token_windows_whole(s, d):
-    return _ids(s, d, True).select("doc_id", F.posexplode(T.windows(F.col("ids"), 64, 32, 0)).alias("k", "w")).select("doc_id", (F.col("k") * 32).cast("long").alias("i"), "w.input_ids", "w.labels")
-
-
 @query(WIN + " select doc_id, cast(sum(case when i = 0 then fresh - 1 else fresh end) as bigint) as n from w group by doc_id", False)
 def window_token_counts(s, d):
     one = _ids(s, d).select("doc_id", F.explode(T.windows(F.col("ids"), 64, 32, 0)).alias("w"))
     return one.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.slice("w.labels", 2, 64), lambda x: x != -100))).alias("n"))
 
 
-@query()
-def window_token_counts_whole(s, d):
-    one = _ids(s, d, True).select("doc_id", F.explode(T.windows(F.col("ids"), 64, 32, 0)).alias("w"))
-    return one.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.slice("w.labels", 2, 64), lambda x: x != -100))).alias("n"))
-
-
 @query("select event_type, round(exp(least(avg(value) / 100, 700)), 4) as ppl, round(avg(value), 4) as loss from events group by event_type", False)
 def perplexity(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.round(F.exp(F.least(F.avg("value") / 100, F.lit(700.0))), 4).alias("ppl"), F.round(F.avg("value"), 4).alias("loss"))
@@ -880,46 +884,26 @@ def sketched_features_h3(s, d):
     return H.features(materialised(counts), 3)
 
 
-FEAT = ", x as (select idx, k - 1 as pos, v[k] as x from nodes, (select unnest(range(1, 9)) as k)), e as (select distinct src, dst from edges), ag as (select e.dst as idx, pos, round(avg(x), 6) as mean, min(x) as mn, max(x) as mx, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0.0) + 1e-5), 5) as std, count(*) as deg from e join x on x.idx = e.src group by e.dst, pos)"
+FEAT = ", x as (select idx, k - 1 as pos, v[k] as x from nodes, (select unnest(range(1, 65)) as k)), e as (select distinct src, dst from edges), ag as (select e.dst as idx, pos, round(avg(x), 6) as mean, min(x) as mn, max(x) as mx, round(sqrt(greatest(avg(x * x) - avg(x) * avg(x), 0.0) + 1e-5), 5) as std, count(*) as deg from e join x on x.idx = e.src group by e.dst, pos)"
 
 
 @query(FEAT + " select idx, cast(pos as int) as pos, mean, mn, mx, std, deg from ag")
 def pna_aggregate(s, d):
-    return N.aggregate_neighbours(N.features(nodes(s, d), 8), edges(s, d))
-
-
-@query()
-def pna_aggregate_whole(s, d):
     return N.aggregate_neighbours(N.features(nodes(s, d), 64), edges(s, d))
 
 
 @query(FEAT + " select x.idx, cast(x.pos as int) as pos, round(greatest(x.x + coalesce(ag.mx, 0.0), 0.0), 6) as h from x left join ag on ag.idx = x.idx and ag.pos = x.pos")
 def sage_max_layer(s, d):
-    return N.sage_max(N.features(nodes(s, d), 8), edges(s, d))
-
-
-@query()
-def sage_max_layer_whole(s, d):
     return N.sage_max(N.features(nodes(s, d), 64), edges(s, d))
 
 
 @query(FEAT + ", l as (select src, dst from e union select idx, idx from nodes), dg as (select dst as n, count(*) as d from l group by dst) select l.dst as idx, cast(pos as int) as pos, round(sum(x / sqrt(a.d * b.d)), 5) as h from l join dg a on a.n = l.src join dg b on b.n = l.dst join x on x.idx = l.src group by l.dst, pos")
 def gcn_norm_layer(s, d):
-    return N.gcn(N.features(nodes(s, d), 8), edges(s, d))
-
-
-@query()
-def gcn_norm_layer_whole(s, d):
     return N.gcn(N.features(nodes(s, d), 64), edges(s, d))
 
 
 @query(FEAT + " select x.idx, cast(pos as int) as pos, round(x + sum(x) over (partition by file_id, pos), 5) as h from x join nodes using (idx)")
 def virtual_node(s, d):
-    return N.virtual_node(N.features(nodes(s, d), 8), nodes(s, d).select("idx", F.col("file_id").alias("graph")))
-
-
-@query()
-def virtual_node_whole(s, d):
     return N.virtual_node(N.features(nodes(s, d), 64), nodes(s, d).select("idx", F.col("file_id").alias("graph")))
 
 
@@ -928,12 +912,6 @@ UP1 = ", mem as (select idx as sg, idx from nodes union select dst, src from edg
 
 @query(FEAT + UP1 + ", su as (select sg as idx, pos, round(avg(x), 5) as subgraph from mem join x using (idx) group by sg, pos), cx as (select m.idx, pos, round(avg(x), 5) as context from mem m join x on x.idx = m.sg group by m.idx, pos) select x.idx, cast(x.pos as int) as pos, x.x as centroid, subgraph, context from x join su on su.idx = x.idx and su.pos = x.pos join cx on cx.idx = x.idx and cx.pos = x.pos")
 def gnnak_pool(s, d):
-    members = H.neighbourhoods(nodes(s, d), edges(s, d)).select(F.col("idx").alias("sg"), F.col("from").alias("idx"))
-    return N.kernel_pool(N.features(nodes(s, d), 8), members)
-
-
-@query()
-def gnnak_pool_whole(s, d):
     members = H.neighbourhoods(nodes(s, d), edges(s, d)).select(F.col("idx").alias("sg"), F.col("from").alias("idx"))
     return N.kernel_pool(N.features(nodes(s, d), 64), members)
 
@@ -973,10 +951,11 @@ def median_value(s, d):
     return table(s, d, "events").groupBy("event_type").agg(F.median("value").alias("med"))
 
 
-@query("select doc_id from documents where doc_id % 2 = 0 union all select doc_id from documents where doc_id % 3 = 0", False)
+@query("select doc_id from documents where doc_id % 2 = 0 union all select doc_id from documents where doc_id % 2 = 1", False)
 def union_all_shards(s, d):
+    """Two shards that make the whole."""
     t = table(s, d, "documents").select("doc_id")
-    return t.where("doc_id % 2 = 0").unionByName(t.where("doc_id % 3 = 0"))
+    return M.modulo_shard(t, "doc_id", 0, 2).unionByName(M.modulo_shard(t, "doc_id", 1, 2))
 
 
 @query("select doc_id from documents except select doc_id from labels", False)

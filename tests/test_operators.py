@@ -80,10 +80,14 @@ def test_induced_and_renumbered(spark):
 
 
 def test_set_cover_and_farthest(spark):
-    mem = spark.createDataFrame([(0, 0), (0, 1), (0, 2), (1, 2), (1, 3), (2, 3)], "sg long, idx long")
-    assert M.set_cover(mem) == [0, 1]
-    e = edges(spark, [(0, 1, 0), (1, 2, 0), (2, 3, 0)])
-    assert M.farthest_roots(mem, e, 2, 0)[:2] == [0, 3]
+    mem = spark.createDataFrame([(g, *r) for g in (0, 7) for r in [(0, 0), (0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]], "graph long, sg long, idx long")
+    order = lambda df: [[r.sg for r in sorted(df.where(F.col("graph") == g).collect(), key=lambda r: r.place)] for g in (0, 7)]
+    assert order(M.set_cover(mem)) == [[0, 1]] * 2 and order(M.set_cover(mem, 9)) == [[0, 1, 2]] * 2
+    e = spark.createDataFrame([(g, i, i + 1) for g in (0, 7) for i in range(3)], "graph long, src long, dst long")
+    assert [x[:2] for x in order(M.farthest_roots(mem, e, 2, 0))] == [[0, 3]] * 2
+    assert M.set_cover(mem.limit(0)).count() == 0 and M.sampled("shortest_path", mem, e, stride=9).count() > 0
+    with pytest.raises(ValueError):
+        M.sampled("other", mem, e)
 
 
 def test_text_functions(spark):
@@ -174,3 +178,52 @@ def test_carving_and_refusal(spark):
         M.repo_split(d, "k", least_chars=4501)
     with pytest.raises(ValueError):
         M.repo_split(d.limit(0), "k")
+
+
+def test_text_options(spark):
+    value = lambda c: spark.range(1).select(c.alias("x")).first().x
+    ids = F.array(*map(F.lit, range(10)))
+    assert value(T.mask(ids, 12)) == [1] * 10 + [0, 0] and value(T.mask(ids, 3)) == [1, 1, 1]
+    assert value(T.truncated(ids, 8, "encoder")) == [0, 1, 2, 3] and value(T.truncated(ids, 8, "decoder")) == [5, 6, 7, 8, 9] and value(T.truncated(ids, 8, "encoder_decoder")) == [0, 1, 2]
+    assert value(T.truncated(ids, 99, "decoder")) == list(range(10)) and value(T.block_size(F.lit(4096))) == 1024
+    answers = F.array(F.lit("a"), F.lit("b"))
+    assert value(T.target_text(F.lit("t"), answers, F.lit(1))) == "t </s>" and value(T.target_text(F.lit(None).cast("string"), answers, F.lit(3))) == "b </s>"
+    assert value(T.target_text(F.lit(None).cast("string"), F.array().cast("array<string>"), F.lit(3))) is None
+    assert value(T.perplexity(F.lit(1e4))) == float("inf")
+
+
+def test_records_round_trip(spark, tmp_path):
+    n = spark.createDataFrame([("a", 0, "x"), ("b", 1, "y")], "repo string, idx long, name string")
+    e = spark.createDataFrame([("a", 0, 0, 1)], "repo string, src long, dst long, etype int")
+    R.write_graph(n, e, f"{tmp_path}/g")
+    got_n, got_e = R.read_graph(spark, f"{tmp_path}/g", ["a"])
+    assert rows(got_n, "idx", "name", "repo") == [(0, "x", "a")] and rows(got_e, "src", "dst", "etype") == [(0, 0, 1)]
+    R.write_samples(n, f"{tmp_path}/s")
+    assert R.read_samples(spark, f"{tmp_path}/s").count() == 2 and rows(R.read_samples(spark, f"{tmp_path}/s", 1, 1), "repo") == [("b",)]
+    R.write_merged([n.where("idx = 1"), n.where("idx = 0")], "idx", f"{tmp_path}/t", "name")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/t").collect()] == ["x", "y"]
+    R.log_metrics(spark, f"{tmp_path}/m", 1, {"acc": 0.5})
+    R.log_metrics(spark, f"{tmp_path}/m", 2, {"acc": 0.75})
+    assert rows(spark.read.json(f"{tmp_path}/m"), "step", "value") == [(1, 0.5), (2, 0.75)]
+    R.write_text_csv(spark.createDataFrame([("a,b",)], "text string"), f"{tmp_path}/c")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/c").first().text == "a,b"
+
+
+def test_examples_of_json_and_json_lines(spark, tmp_path):
+    one = ['{"question": "q%d", "ctxs": [{"text": "t"}%s]}' % (i, ', {"text": "u", "score": 2.0}' if i else "") for i in range(5)]
+    (tmp_path / "a.jsonl").write_text("\n".join(one))
+    (tmp_path / "a.json").write_text("[" + ",".join(one) + "]")
+    for name in ("a.json", "a.jsonl"):
+        got = {r.k: r for r in R.read_examples(spark, f"{tmp_path}/{name}").collect()}
+        assert [got[k].question for k in range(5)] == [f"q{k}" for k in range(5)] and got[3].id == "3" and [c.score for c in got[3].ctxs] == [0.25, 2.0]
+        assert sorted(r.k for r in R.read_examples(spark, f"{tmp_path}/{name}", 1, 2).collect()) == [1, 3]
+
+
+def test_load_samples(spark, tmp_path):
+    d = spark.createDataFrame([("retrieval", "java", "cross_file_first", "easy_1", 1), ("retrieval", "java", "cross_file_first", "easy_2", 2), ("retrieval", "python", "cross_file_random", "hard", 3)], "task string, language string, setting string, shard string, v int")
+    d.write.partitionBy("task", "language", "setting", "shard").parquet(f"{tmp_path}/d")
+    assert rows(R.load_samples(spark, f"{tmp_path}/d", "R", "java", "xf-f"), "v", "shard") == [(1, "easy_1"), (2, "easy_2")]
+    assert rows(R.load_samples(spark, f"{tmp_path}/d", "retrieval", "py", ["xf-r", "xf-f"]), "v") == [(3,)]
+    for bad in (("x", "py", "if"), ("r", "x", "xf-f"), ("r", "py", "if"), ("c", "py", "zz")):
+        with pytest.raises(ValueError):
+            R.load_samples(spark, f"{tmp_path}/d", *bad)
