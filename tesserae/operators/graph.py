@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered, starts
+
 #: Fixed values: (source type, relation, target type, edge type) with node types 0 code, 1 functions, 2 classes.
 RELATIONS = [
     ("classes", "owns", "functions", 4), ("code", "owns", "functions", 3), ("code", "owns", "classes", 3), ("functions", "call", "functions", 1), ("classes", "call", "functions", 1),
@@ -16,12 +18,12 @@ TYPE_NAMES = {0: "code", 1: "functions", 2: "classes"}
 def surrogate_keys(nodes: DataFrame) -> DataFrame:
     """(idx, key): dense from 0 within each file's own order (functions, classes, the file), files first.
 
-    A file's offset is a running sum over one row a file, so no node passes through a global window.
+    A file's offset is a running sum over one row a file, itself summed range by range.
     """
     kind = F.when(F.col("node_type") == 1, 0).when(F.col("node_type") == 2, 1).otherwise(2)
     inner = nodes.withColumn("k", F.row_number().over(Window.partitionBy("file_id").orderBy(kind, "idx")).cast("long") - 1)
     size = nodes.groupBy("file_id").agg(F.count("*").alias("n"))
-    start = size.select("file_id", (F.sum("n").over(Window.orderBy("file_id")) - F.col("n")).alias("start"))
+    start = starts(size, "file_id", "n").select("file_id", "start")
     return inner.join(start, "file_id").select("idx", (F.col("start") + F.col("k")).alias("key"))
 
 
@@ -64,3 +66,8 @@ def with_query_node(members: DataFrame, inside: DataFrame, current: DataFrame, c
     own = current.join(m, "sg").select("sg", F.col("idx").alias("src"), F.col("m").alias("dst"), F.lit(3).alias("etype"))
     call = called.join(m, "sg").select("sg", F.col("m").alias("src"), F.col("idx").alias("dst"), F.lit(1).alias("etype"))
     return inside.unionByName(own).unionByName(call)
+
+
+def homogenised(parts: DataFrame) -> DataFrame:
+    """(kind, pos, idx): nodes given by kind and place in it, concatenated in the order of their kinds."""
+    return numbered(parts.select("kind", "pos"), "kind", "pos", name="idx")

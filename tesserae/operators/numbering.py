@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialised
@@ -25,3 +25,16 @@ def numbered(rows: DataFrame, *order, name: str = "nr") -> DataFrame:
         return held.select(*rows.columns, F.lit(0).cast("long").alias(name))
     inside = F.col("_at").bitwiseAND((1 << 33) - 1)
     return held.select(*rows.columns, (inside + F.create_map(*starts)[part].cast("long")).alias(name))
+
+
+def starts(sizes: DataFrame, key: str, size: str, name: str = "start") -> DataFrame:
+    """``sizes`` with the sum of ``size`` over the rows before, by ``key``: running sums inside ranges, and one sum a range on the driver."""
+    held = materialised(sizes.orderBy(key).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftrightunsigned("_at", 33)))
+    before, offsets = 0, []
+    for r in held.groupBy("_part").agg(F.sum(size).alias("n")).orderBy("_part").collect():
+        offsets += [F.lit(r._part), F.lit(before)]
+        before += r.n
+    if not offsets:
+        return held.select(*sizes.columns, F.lit(0).cast("long").alias(name))
+    inside = F.sum(size).over(Window.partitionBy("_part").orderBy("_at")) - F.col(size)
+    return held.select(*sizes.columns, (inside + F.create_map(*offsets)[F.col("_part")].cast("long")).alias(name))

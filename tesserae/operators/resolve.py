@@ -10,10 +10,24 @@ def last_segment(name: Column, sep: str = ".") -> Column:
     return F.substring_index(name, sep, -1)
 
 
+def _parts(rows: DataFrame, text: str, names: DataFrame, name: str = "name") -> DataFrame:
+    """``rows`` with column ``name``: each different part of ``text`` that is as long as some of ``names``.
+
+    A test whether a text contains a name becomes an equality; the driver holds the different lengths of names only.
+    """
+    lengths = sorted(r[0] for r in names.select(F.length(name)).distinct().collect() if r[0])
+    if not lengths:
+        return rows.limit(0).withColumn(name, F.lit(None).cast("string"))
+    long = F.explode(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(text)))
+    one = rows.withColumn("_n", long)
+    return one.withColumn(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - F.col("_n") + 1), lambda i: F.substring(F.col(text), i, F.col("_n")))))).drop("_n")
+
+
 def contains_first(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """(name, idx): the first node whose name contains ``name``, one row a name that has one."""
-    pairs = names.select("name").distinct().join(nodes.select("idx", F.col("name").alias("node")), F.expr("contains(node, name)"))
-    return pairs.groupBy("name").agg(F.min("idx").alias("idx"))
+    wanted = names.select("name").distinct()
+    parts = _parts(nodes.groupBy(F.col("name").alias("node")).agg(F.min("idx").alias("idx")), "node", wanted)
+    return parts.join(wanted, "name").groupBy("name").agg(F.min("idx").alias("idx"))
 
 
 def suffix_first(node_names: DataFrame, names: DataFrame) -> DataFrame:
@@ -29,7 +43,7 @@ def resolve_imports(imports: DataFrame, names: DataFrame) -> DataFrame:
     """(imp, idx): first name that the import contains; only without one, the first with the same last segment
     that does not end in ``.py``."""
     one = imports.select("imp").distinct()
-    inside = one.join(names, F.expr("contains(imp, name)")).select("imp", F.lit(0).alias("pass"), "idx")
+    inside = _parts(one, "imp", names).join(names, "name").select("imp", F.lit(0).alias("pass"), "idx")
     seg = names.where(~F.col("name").endswith(".py")).select("idx", last_segment(F.col("name")).alias("seg"))
     last = one.withColumn("seg", last_segment(F.col("imp"))).join(seg, "seg").select("imp", F.lit(1).alias("pass"), "idx")
     best = inside.unionByName(last).groupBy("imp").agg(F.min(F.struct("pass", "idx")).alias("m"))
@@ -96,6 +110,11 @@ def call_edges(found: DataFrame, names: DataFrame, calls: DataFrame) -> DataFram
     return found.join(calls, "caller").join(ends, "node").select(F.col("idx").alias("src"), "dst", "etype").distinct()
 
 
+def import_edges(imports: DataFrame, names: DataFrame) -> DataFrame:
+    """(src, dst, etype 0): the file ``src`` of an import (src, imp) to the name that the import resolves to."""
+    return imports.join(resolve_imports(imports, names), "imp").select("src", F.col("idx").alias("dst"), F.lit(0).alias("etype")).distinct()
+
+
 def call_misses(found: DataFrame) -> DataFrame:
     """(file_id, captured, missed): functions, classes and methods of a file with and without a node; files do not count."""
     one = found.where("etype = 1")

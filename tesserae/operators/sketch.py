@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialised
+
 PRIME = 2147483647
 
 
@@ -63,7 +65,7 @@ def khop_sets(nodes: DataFrame, feeds: DataFrame, hops: int) -> DataFrame:
     front = nodes.select("idx", F.col("idx").alias("member"))
     out = None
     for k in range(1, hops + 1):
-        front = feeds.join(front.select(F.col("idx").alias("from"), "member"), "from").select("idx", "member").distinct()
+        front = materialised(feeds.join(front.select(F.col("idx").alias("from"), "member"), "from").select("idx", "member").distinct())
         step = front.withColumn("hop", F.lit(k))
         out = step if out is None else out.unionByName(step)
     return out
@@ -84,20 +86,32 @@ ZERO_ONE = {1: [], 2: [4, 5], 3: [4, 5, 11, 12]}
 
 
 def exact_counts(links: DataFrame, sets: DataFrame, hops: int) -> DataFrame:
-    """Links (u, v) with a_i, b_j (sizes of the neighbourhoods of u and v) and i_ij (of their intersections)."""
-    size = sets.groupBy("idx", "hop").agg(F.count("*").alias("n"))
+    """Links (u, v) with a_i, b_j (sizes of the neighbourhoods of u and v) and i_ij (of their intersections).
+
+    A member's hops are bits of one number, so that one join a side and one aggregate count all pairs of hops.
+    """
+    m = materialised(sets.groupBy("idx", "member").agg(F.bit_or(F.expr("shiftleft(1, hop)")).alias("bits")))
+    has = lambda c, k: F.col(c).bitwiseAND(1 << k) > 0
+    size = m.groupBy("idx").agg(*[F.count_if(has("bits", k)).alias(f"n{k}") for k in range(1, hops + 1)])
     out = links.select("u", "v")
-    for k in range(1, hops + 1):
-        for name, c in (("u", "a"), ("v", "b")):
-            s = size.where(F.col("hop") == k).select(F.col("idx").alias(name), F.col("n").alias(f"{c}{k}"))
-            out = out.join(s, name, "left")
-    for i in range(1, hops + 1):
-        for j in range(1, hops + 1):
-            a = sets.where(F.col("hop") == i).select(F.col("idx").alias("u"), "member")
-            b = sets.where(F.col("hop") == j).select(F.col("idx").alias("v"), "member")
-            both = links.select("u", "v").join(a, "u").join(b, ["v", "member"]).groupBy("u", "v").agg(F.count("*").alias(f"i{i}{j}"))
-            out = out.join(both, ["u", "v"], "left")
-    return out.fillna(0)
+    for name, c in (("u", "a"), ("v", "b")):
+        out = out.join(size.select(F.col("idx").alias(name), *[F.col(f"n{k}").alias(f"{c}{k}") for k in range(1, hops + 1)]), name, "left")
+    a, b = m.select(F.col("idx").alias("u"), "member", F.col("bits").alias("x")), m.select(F.col("idx").alias("v"), "member", F.col("bits").alias("y"))
+    both = links.select("u", "v").join(a, "u").join(b, ["v", "member"]).groupBy("u", "v").agg(*[F.count_if(has("x", i) & has("y", j)).alias(f"i{i}{j}") for i in range(1, hops + 1) for j in range(1, hops + 1)])
+    return out.join(both, ["u", "v"], "left").fillna(0)
+
+
+#: The hops from u and from v that each link feature counts.
+HOPS_OF = {
+    1: [(1, 1), (0, 1), (1, 0)],
+    2: [(1, 1), (2, 1), (1, 2), (2, 2), (0, 1), (1, 0), (0, 2), (2, 0)],
+    3: [(1, 1), (2, 1), (1, 2), (2, 2), (3, 1), (1, 3), (3, 2), (2, 3), (3, 3), (0, 1), (1, 0), (0, 2), (2, 0), (0, 3), (3, 0)],
+}
+
+
+def labelled(found: DataFrame, hops: int) -> DataFrame:
+    """Link features f0, f1, ... under names that tell their hops: f_1_1, f_2_1, ..."""
+    return found.select("u", "v", *[F.col(f"f{k}").alias(f"f_{a}_{b}") for k, (a, b) in enumerate(HOPS_OF[hops])])
 
 
 def features(counts: DataFrame, hops: int, zero_one: bool = True, floor: bool = True) -> DataFrame:

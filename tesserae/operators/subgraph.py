@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..scratch import materialised
 from .expand import hops
+from .numbering import starts
 
 
 def induced(members: DataFrame, edges: DataFrame, by: str = "sg") -> DataFrame:
@@ -83,10 +84,9 @@ def ppr_topk(roots: DataFrame, edges: DataFrame, alpha: float = 0.1, rounds: int
 def combined(members: DataFrame) -> DataFrame:
     """(sg, idx, cid): one dense numbering of the disjoint union, in order of (sg, idx).
 
-    Numbers within a subgraph are added to the running size of the subgraphs before it, so only one row a
-    subgraph goes through the global window.
+    Numbers within a subgraph are added to the running size of the subgraphs before it, summed range by range.
     """
     inner = members.withColumn("k", F.row_number().over(Window.partitionBy("sg").orderBy("idx")).cast("long") - 1)
     size = members.groupBy("sg").agg(F.count("*").alias("n"))
-    start = size.select("sg", (F.sum("n").over(Window.orderBy("sg")) - F.col("n")).alias("start"))
+    start = starts(size, "sg", "n").select("sg", "start")
     return inner.join(start, "sg").select("sg", "idx", (F.col("start") + F.col("k")).alias("cid"))

@@ -22,6 +22,7 @@ from ..operators.numbering import numbered
 from ..scratch import materialised
 from ..sources import code as P
 from ..sources import records as R
+from .build import repo_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,12 +50,12 @@ select query, idx, score, cast(rank as integer) as rank from (select *, row_numb
 
 @query(KNN_SQL.format(value="list_distance(a.v, b.v)", order="asc"))
 def knn_euclidean_topk(s, d):
-    return V.top_k(V.scores(_seed_queries(s, d), nodes(s, d), "euclidean"), 8, True)
+    return V.near(_seed_queries(s, d), nodes(s, d), "euclidean", 8)
 
 
 @query(KNN_SQL.format(value="list_cosine_similarity(a.v, b.v)", order="desc"))
 def knn_cosine_topk(s, d):
-    return V.top_k(V.scores(_seed_queries(s, d), nodes(s, d), "cosine"), 8, False)
+    return V.near(_seed_queries(s, d), nodes(s, d), "cosine", 8)
 
 
 @query(", r as (select a.idx as query, b.idx as idx, b.label from nodes a join nodes b on a.label = b.label and a.file_id = b.file_id where a.idx % 50 = 0) select query, idx from r")
@@ -70,7 +71,7 @@ select lm.query, lm.token, round(0.25 * coalesce(pk.p, 0) + 0.75 * lm.p, 6) as p
 def knn_lm_interpolation(s, d):
     """Labels as tokens: their shares are the language model, the nearest nodes' labels the datastore."""
     n = nodes(s, d)
-    near = V.top_k(V.scores(_seed_queries(s, d), n, "euclidean"), 8, True).join(n.select("idx", F.col("label").alias("token")), "idx").select("query", "token", F.col("score").alias("dist"))
+    near = V.near(_seed_queries(s, d), n, "euclidean", 8).join(n.select("idx", F.col("label").alias("token")), "idx").select("query", "token", F.col("score").alias("dist"))
     per = n.groupBy(F.col("label").alias("token")).agg(F.count("*").alias("n"))
     share = per.join(per.agg(F.sum("n").alias("total"))).select(F.collect_list(F.struct("token", (F.col("n") / F.col("total")).alias("p"))).over(Window.partitionBy(F.lit(0))).alias("share")).limit(1)
     lm = seeds(s, d).select(F.col("idx").alias("query")).join(F.broadcast(share)).select("query", F.inline("share"))
@@ -223,7 +224,7 @@ def cover_ratio_recall(s, d):
 def flagship_search_expand_label(s, d):
     """Search, expand, induce, label: for each seed the size of its retrieved subgraph and whether gold is inside."""
     e = edges(s, d)
-    top = V.top_k(_cos(s, d), 8, False).select("query", "idx")
+    top = V.near(_seed_queries(s, d), nodes(s, d), "cosine", 8).select("query", "idx")
     mem = X.hops(top, X.undirected(e), 1, "query").select(F.col("query").alias("sg"), "idx").distinct()
     inside = S.induced(mem, e).groupBy("sg").agg(F.count("*").alias("inside"))
     lab = mem.join(_gold(s, d).withColumnRenamed("query", "sg"), "sg").groupBy("sg").agg(F.count("*").alias("members"), F.max((F.col("idx") == F.col("gold")).cast("int")).alias("hit"))
@@ -260,7 +261,7 @@ def combined_subgraphs(s, d):
 @query(ANC + ", k as (select distinct sg, dense_rank() over (order by sg) - 1 as new from anc where sg % 100 = 0) select k.new as sg, idx from anc join k using (sg)")
 def select_relabel_subgraphs(s, d):
     keep = _anc(s, d).where("sg % 100 = 0").select("sg", "idx")
-    new = keep.select("sg").distinct().withColumn("new", (F.row_number().over(Window.orderBy("sg")) - 1).cast("long"))
+    new = numbered(keep.select("sg").distinct(), "sg", name="new")
     return keep.join(new, "sg").select(F.col("new").alias("sg"), "idx")
 
 
@@ -471,6 +472,15 @@ def import_two_pass(s, d):
     return J.resolve_imports(*_imports(s, d))
 
 
+@query(IMP + TWO + " select distinct s.idx as src, best.idx as dst, 0 as etype from seeds s join best on best.imp like concat('pkg', s.idx % 5, '.%')")
+def import_edges(s, d):
+    """Seeds as files, each importing what its package has."""
+    imp, nm = _imports(s, d)
+    own = imp.withColumn("pkg", F.substring_index("imp", ".", 1))
+    files = seeds(s, d).select(F.col("idx").alias("src"), F.concat(F.lit("pkg"), (F.col("idx") % 5).cast("string")).alias("pkg"))
+    return J.import_edges(files.join(own, "pkg").select("src", "imp"), nm)
+
+
 @query(" select distinct concat('f', n.file_id) as file, n.idx from nodes n where n.node_type = 0")
 def file_stem_join(s, d):
     n = nodes(s, d)
@@ -546,6 +556,39 @@ def parse_entities(s, d):
     return P.parse(s.createDataFrame(SOURCES, "path string, text string")).select("path", "kind", "name", "owner")
 
 
+@query("select * from (values ('m.py', 'm.py', '', ['m.f', 'm.A'], [3, 3]), ('pkg/__init__.py', 'pkg.__init__.py', 'from a.b import c, d as e' || chr(10) || 'from . import x' || chr(10) || 'import os' || chr(10), [], []), ('bad.py', 'bad.py', 'def (', [], [])) t(path, name, body, names, types)", False)
+def parse_files(s, d):
+    """Files' own nodes: what is left of their text, and what they own."""
+    return P.file_rows(s.createDataFrame(SOURCES, "path string, text string"))
+
+
+REPO = [
+    ("app/main.py", "from lib.tools import helper\nfrom lib import tools\n\ndef run(x):\n    return helper(x)\n\nclass App:\n    def start(self):\n        return run(1)\n\nrun(2)\n"),
+    ("lib/tools.py", "def helper(x):\n    return x\n\ndef unused():\n    pass\n"),
+    ("lib/__init__.py", ""),
+]
+CALLS = [(0, "main::run", ["tools::tools.helper"]), (1, "main.App.start", ["x.main.run"]), (2, "main", ["y.main.run", "nothing"]), (3, "tools.helper", [])]
+
+
+def _built(s):
+    return repo_graph(s.createDataFrame(REPO, "path string, text string"), s.createDataFrame(CALLS, "place int, node string, called array<string>"))
+
+
+@query("select * from (values (0, 'app/main.py', 'function', 'main.run'), (1, 'app/main.py', 'class', 'main.App'), (2, 'app/main.py', 'method', 'main.App.start'), (3, 'app/main.py', 'file', 'main.py'), (4, 'lib/__init__.py', 'file', 'lib.__init__.py'), (5, 'lib/tools.py', 'function', 'tools.helper'), (6, 'lib/tools.py', 'function', 'tools.unused'), (7, 'lib/tools.py', 'file', 'tools.py')) t(idx, path, kind, name)", False)
+def repo_nodes(s, d):
+    return _built(s)[0].select("idx", "path", "kind", "name")
+
+
+@query("select * from (values (3, 0, 3), (3, 1, 3), (1, 2, 4), (7, 5, 3), (7, 6, 3), (3, 5, 0), (2, 0, 1), (3, 0, 2), (1, 0, 1)) t(src, dst, etype)", False)
+def repo_edges(s, d):
+    return _built(s)[1]
+
+
+@query("select * from (values ('app/main.py', 2, 1), ('lib/tools.py', 1, 1)) t(path, captured, missed)", False)
+def repo_misses(s, d):
+    return _built(s)[2]
+
+
 @query("select * from (values ('m.py'), ('pkg/__init__.py')) t(path)", False)
 def compile_filter(s, d):
     return P.compiles(s.createDataFrame(SOURCES, "path string, text string")).select("path")
@@ -685,12 +728,22 @@ def inversions(s, d):
     return a.select("g", T.inversions(F.col("r")).cast("long").alias("inv"))
 
 
-@query("with p as (select doc_id // 20 as g, row_number() over (partition by doc_id // 20 order by n_chars desc, doc_id) as place, row_number() over (partition by doc_id // 20 order by doc_id) - 1 as gold from documents) select g, round(avg(case when place <= 5 then cast(gold < 5 as int) end), 6) as top5, max(case when gold < 5 then place end) as need5 from p group by g", False)
+RETR = KNN_SQL.format(value="list_distance(a.v, b.v)", order="asc").replace("select query, idx, score, cast(rank as integer) as rank from (", ", kn as (select query, idx, score from (") + "), x as (select query, row_number() over (partition by query order by idx) - 1 as gold, row_number() over (partition by query order by score desc, idx) as place, count(*) over (partition by query) as n from kn), inv as (select a.query, count(*) filter (where a.place < b.place and a.gold > b.gold) as inversions from x a join x b using (query) group by a.query)"
+
+
+@query(RETR + " select query, any_value(inversions) as inversions, " + ", ".join(f"round(avg(case when place <= {k} then cast(gold < {k} as int) end), 6) as avg_{k}, max(case when gold < {k} then place end) as need_{k}" for k in (1, 3, 5)) + " from x join inv using (query) group by query")
 def retriever_scores(s, d):
-    g = F.floor(F.col("doc_id") / 20)
-    w, v = Window.partitionBy("g").orderBy(F.desc("n_chars"), "doc_id"), Window.partitionBy("g").orderBy("doc_id")
-    p = table(s, d, "documents").select(g.alias("g"), "doc_id", "n_chars").withColumns({"place": F.row_number().over(w).cast("long"), "gold": F.row_number().over(v) - 1})
-    return p.groupBy("g").agg(F.round(F.avg(F.when(F.col("place") <= 5, (F.col("gold") < 5).cast("int"))), 6).alias("top5"), F.max(F.when(F.col("gold") < 5, F.col("place"))).alias("need5"))
+    """Of each seed's eight nearest: predicted order by distance, farthest first, against gold order by number."""
+    near = V.near(_seed_queries(s, d), nodes(s, d), "euclidean", 8)
+    gold = F.row_number().over(Window.partitionBy("query").orderBy("idx")) - 1
+    return V.retriever_scores(near.withColumn("gold", gold), [1, 3, 5])
+
+
+@query(COS + GOLD + ", z as (select *, score - max(score) over (partition by query) as z from sc), p as (select query, idx, z - ln(sum(exp(z)) over (partition by query)) as logp from z) select query % 100 as repo, round(exp(avg(-logp)), 4) as perplexity from p join gold using (query) where idx = gold group by 1")
+def repo_perplexity(s, d):
+    """exp of the mean loss of each repo's samples."""
+    loss = V.log_softmax(_cos(s, d), 1.0).join(_gold(s, d), "query").where("idx = gold").select((F.col("query") % 100).alias("repo"), (-F.col("logp")).alias("loss"))
+    return loss.groupBy("repo").agg(F.round(T.perplexity(F.avg("loss")), 4).alias("perplexity"))
 
 
 SETS = "with t as (select item_id, list_distinct(string_split(lower(text), ' ')) as w, text as s from benchmark)"
@@ -752,9 +805,11 @@ def window_token_counts(s, d):
     return one.groupBy("doc_id").agg(F.sum(F.size(F.filter(F.slice("w.labels", 2, 64), lambda x: x != -100))).alias("n"))
 
 
-@query("select event_type, round(exp(least(avg(value) / 100, 700)), 4) as ppl, round(avg(value), 4) as loss from events group by event_type", False)
+@query(COS + ", z as (select *, score - max(score) over (partition by query) as z from sc), p as (select query, z - ln(sum(exp(z)) over (partition by query)) as logp, idx from z) select query, round(exp(avg(-logp)), 4) as ppl, round(avg(-logp), 4) as loss from p where idx % 3 = 0 group by query")
 def perplexity(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.exp(F.least(F.avg("value") / 100, F.lit(700.0))), 4).alias("ppl"), F.round(F.avg("value"), 4).alias("loss"))
+    """Candidates divisible by three as a sample's labelled tokens: exp of their mean loss."""
+    loss = V.log_softmax(_cos(s, d), 1.0).where("idx % 3 = 0")
+    return loss.groupBy("query").agg(F.round(T.perplexity(F.avg(-F.col("logp"))), 4).alias("ppl"), F.round(F.avg(-F.col("logp")), 4).alias("loss"))
 
 
 @query("select step, round(case when step < 20 then (1 - 0.1) * step / 20 + 0.1 else greatest(0.0, 1 + (0.1 - 1) * (step - 20) / (100 - 20)) end, 6) as factor from (select unnest(range(0, 120)) as step)", False)
@@ -931,14 +986,146 @@ def bincount(s, d):
     return nodes(s, d).select("idx").join(edges(s, d).groupBy(F.col("dst").alias("idx")).agg(F.count("*").alias("n")), "idx", "left").fillna({"n": 0})
 
 
-@query("select conv_id, round(avg(length(text)) filter (where role <> 'system'), 4) as pooled from conversations group by conv_id", False)
+@query(FEAT + " select n.file_id as text, cast(x.pos as int) as pos, round(sum(case when n.node_type > 0 then x.x end) / count(case when n.node_type > 0 then 1 end), 6) as pooled from x join nodes n using (idx) group by n.file_id, x.pos")
 def mean_pool(s, d):
-    return table(s, d, "conversations").groupBy("conv_id").agg(F.round(F.avg(F.when(F.col("role") != "system", F.length("text"))), 4).alias("pooled"))
+    """Nodes as the tokens of their file, of which files themselves are padding."""
+    n = nodes(s, d)
+    tokens = N.features(n, 64).join(n.select("idx", F.col("file_id").alias("text"), (F.col("node_type") > 0).alias("mask")), "idx")
+    return N.masked_mean(tokens, "text")
 
 
-@query("select l_orderkey, round(sum(l_quantity) / (count(*) * 4), 6) as score from lineitem group by l_orderkey", False)
+@query(FEAT + ", t as (select idx as passage, pos % 16 as token, pos // 16 % 2 as layer, pos // 32 as head, x as score, (idx + pos % 16) % 3 > 0 as mask from x) select passage, round(sum(case when mask then score else 0 end) / (count(distinct case when mask then token end) * 4), 6) as score from t group by passage")
 def crossattn_score(s, d):
-    return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.round(F.sum("l_quantity") / (F.count("*") * 4), 6).alias("score"))
+    """Components of an embedding as the attention on 16 tokens in 2 layers of 2 heads."""
+    pos = F.col("pos")
+    t = N.features(nodes(s, d), 64).select(F.col("idx").alias("passage"), (pos % 16).alias("token"), F.floor(pos / 16 % 2).alias("layer"), F.floor(pos / 32).alias("head"), F.col("x").alias("score"), ((F.col("idx") + pos % 16) % 3 > 0).alias("mask"))
+    return N.cross_attention(t, 2, 2)
+
+
+#: Fixed weights of a matrix, the same in both engines.
+WEIGHT = "(({p} * 31 + {o} * 17 + {seed}) % 13 - 6) / 20.0::double"
+
+
+def _weights(s, places: int, outs: int, seed: int) -> DataFrame:
+    w = (((F.col("pos") * 31 + F.col("out") * 17 + seed) % 13) - 6) / F.lit(20.0)
+    return s.range(places).select(F.col("id").cast("int").alias("pos")).withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(outs - 1)))).withColumn("w", w)
+
+
+def _matrix_sql(name: str, places: int, outs: int, seed: int) -> str:
+    return f", {name} as (select p as pos, o as out, {WEIGHT.format(p='p', o='o', seed=seed)} as w from unnest(range({places})) a(p), unnest(range({outs})) b(o))"
+
+
+def _sage_sql(k: int, x: str) -> str:
+    return f", m{k} as (select e.dst as idx, {x}.pos, max({x}.x) as x from e join {x} on {x}.idx = e.src group by e.dst, {x}.pos), l{k} as (select idx, out as pos, sum(v) as x from (select idx, out, x * w as v from {x} join own{k} using (pos) union all select idx, out, x * w from m{k} join their{k} using (pos)) group by idx, out), r{k} as (select idx, pos, greatest(x, 0.0) as x from l{k})"
+
+
+@query(FEAT.replace("{", "{{").replace("}", "}}").format() + _matrix_sql("own1", 64, 16, 1) + _matrix_sql("their1", 64, 16, 2) + _matrix_sql("own2", 16, 16, 3) + _matrix_sql("their2", 16, 16, 4) + _matrix_sql("fin", 16, 8, 5) + _sage_sql(1, "x") + _sage_sql(2, "r1") + " select idx, cast(out as int) as pos, round(sum(x * w), 4) as h from r2 join fin using (pos) group by idx, out")
+def sage_encoder(s, d):
+    """Two layers with maximum aggregation and given weights, relu after each, and a final linear one."""
+    x, e = N.features(nodes(s, d), 64), edges(s, d)
+    for k, (wide, out) in enumerate(((64, 16), (16, 16))):
+        x = N.relu(N.sage(x, e, _weights(s, wide, out, 1 + 2 * k), _weights(s, wide, out, 2 + 2 * k)))
+    return N.linear(x, _weights(s, 16, 8, 5)).select("idx", "pos", F.round("x", 4).alias("h"))
+
+
+def _pair_features(s, d, target: DataFrame) -> DataFrame:
+    """(idx, pos, x): each node's unit vector, then its target's; ``target`` is (idx, target)."""
+    n = nodes(s, d).select("idx", F.col("embedding").cast("array<double>").alias("v"))
+    unit = n.select("idx", F.transform("v", lambda x: x / V.norm(F.col("v"))).alias("u"))
+    pair = target.join(unit, "idx").join(unit.select(F.col("idx").alias("target"), F.col("u").alias("t")), "target")
+    return pair.select("idx", F.posexplode(F.concat("u", "t")).alias("pos", "x"))
+
+
+UNIT = ", un as (select idx, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) as u from nodes), pr as (select t.idx, list_concat(a.u, b.u) as z from tg t join un a on a.idx = t.idx join un b on b.idx = t.target), px as (select idx, k - 1 as pos, z[k] as x from pr, (select unnest(range(1, 129)) as k))" + _matrix_sql("w1", 128, 16, 7) + _matrix_sql("w2", 16, 1, 8) + ", hd as (select idx, w1.out as pos, greatest(sum(x * w), 0.0) as x from px join w1 using (pos) group by idx, w1.out)"
+MLP = " select idx, round(sum(x * w), 5) as score from hd join w2 using (pos) group by idx"
+
+
+def _mlp(s, pairs: DataFrame) -> DataFrame:
+    return N.decoded(pairs, _weights(s, 128, 16, 7), _weights(s, 16, 1, 8).select("pos", "w")).withColumn("score", F.round("score", 5))
+
+
+@query(", tg as (select n.idx, t.target from nodes n join (select file_id, max(idx) as target from nodes where node_type = 1 group by file_id) t using (file_id) where n.node_type in (1, 2) and n.idx <> t.target)" + UNIT + MLP)
+def link_decoder(s, d):
+    """Functions and classes of a file against its last function, by a network over their unit vectors."""
+    n = nodes(s, d).select("idx", "file_id", "node_type")
+    last = n.where("node_type = 1").groupBy("file_id").agg(F.max("idx").alias("target"))
+    return _mlp(s, _pair_features(s, d, n.where("node_type in (1, 2)").join(last, "file_id").where("idx <> target").select("idx", "target")))
+
+
+@query(", tg as (select idx, cast(floor(idx / 50) * 50 as bigint) as target from nodes where idx % 50 > 0)" + UNIT + MLP)
+def rerank_decoder(s, d):
+    """Candidates of each seed (the nodes up to the next one) by a network over candidate and query."""
+    n = nodes(s, d).where("idx % 50 > 0").select("idx", (F.floor(F.col("idx") / 50) * 50).cast("long").alias("target"))
+    return _mlp(s, _pair_features(s, d, n))
+
+
+@query(", k as (select idx, node_type, row_number() over (partition by node_type order by idx) - 1 as pos from nodes) select node_type as kind, pos, row_number() over (order by node_type, pos) - 1 as idx from k")
+def homogenised_nodes(s, d):
+    n = nodes(s, d).select("idx", "node_type")
+    parts = [numbered(n.where(F.col("node_type") == k), "idx", name="pos").select(F.col("node_type").alias("kind"), "pos") for k in (0, 1, 2)]
+    return G.homogenised(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+
+
+@query(COS + ", t as (select idx, node_type from nodes) select query, sc.idx, node_type, score from sc join t on t.idx = sc.idx")
+def hetero_cosine(s, d):
+    """Cosines type by type, put back in one table."""
+    n = nodes(s, d)
+    parts = [V.scores(_seed_queries(s, d), n.where(F.col("node_type") == k), "cosine").withColumn("node_type", F.lit(k)) for k in (0, 1, 2)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(FEAT + ", s as (select e.dst as idx, x.pos, sum(greatest(x.x, 0.0)) as s from e join x on x.idx = e.src group by e.dst, x.pos) select x.idx, cast(x.pos as int) as pos, round(1.5 * x.x + coalesce(s.s, 0.0), 5) as h from x left join s on s.idx = x.idx and s.pos = x.pos")
+def gin_layer(s, d):
+    return N.gin(N.features(nodes(s, d), 64), edges(s, d), 0.5)
+
+
+@query(FEAT + ", s as (select e.dst as idx, x.pos, sum(x.x / (1 + exp(-(x.x + y.x)))) as s from e join x on x.idx = e.src join x y on y.idx = e.dst and y.pos = x.pos group by e.dst, x.pos) select x.idx, cast(x.pos as int) as pos, round(x.x + coalesce(s.s, 0.0), 5) as h from x left join s on s.idx = x.idx and s.pos = x.pos")
+def gated_layer(s, d):
+    return N.gated(N.features(nodes(s, d), 64), edges(s, d))
+
+
+@query(FEAT + _matrix_sql("wa", 64, 2, 9) + ", dt as (select idx, sum(x * a.w) as s, sum(x * b.w) as t from x join wa a on a.pos = x.pos and a.out = 0 join wa b on b.pos = x.pos and b.out = 1 group by idx), l as (select src, dst from e union select idx, idx from nodes), sc as (select l.src, l.dst, case when u.s + v.t > 0 then u.s + v.t else 0.2 * (u.s + v.t) end as a from l join dt u on u.idx = l.src join dt v on v.idx = l.dst), ex as (select src, dst, exp(a - max(a) over (partition by dst)) as e from sc), atn as (select src, dst, e / sum(e) over (partition by dst) as p from ex) select atn.dst as idx, cast(x.pos as int) as pos, round(sum(x.x * p), 5) as h from atn join x on x.idx = atn.src group by atn.dst, x.pos")
+def attention_layer(s, d):
+    w = _weights(s, 64, 2, 9)
+    side = lambda k: w.where(F.col("out") == k).select("pos", "w")
+    return N.attended(N.features(nodes(s, d), 64), edges(s, d), side(0), side(1))
+
+
+@query(INTER + ", f as (select u, v, i11 as f0, i21 - i11 as f1, i12 - i11 as f2, i22 - i11 - (i21 - i11) - (i12 - i11) as f3, a1, a2, b1, b2 from j), g as (select *, b1 - (f0 + f1) as f4, a1 - f0 - f2 as f5 from f), h as (select u, v, greatest(f0, 0) as f_1_1, greatest(f1, 0) as f_2_1, greatest(f2, 0) as f_1_2, greatest(f3, 0) as f_2_2, greatest(f4, 0) as f_0_1, greatest(f5, 0) as f_1_0, greatest(b2 - (f0 + f1 + f2 + f3 + f4), 0) as f_0_2, greatest(a2 - f0 - (f0 + f1 + f2 + f3) - f5, 0) as f_2_0 from g) select * from h")
+def labelled_features_h2(s, d):
+    """Link features under the names of their pairs of hops."""
+    return H.labelled(H.link_features(_links(s, d), materialised(H.khop_sets(nodes(s, d), _feeds(s, d), 2)), 2), 2)
+
+
+@query("with r as (select turn % 4 as category, case when conv_id % 2 = 0 then 'graph' else 'search' end as system, length(text) % 2 as hit from conversations) select category, round(avg(hit) filter (where system = 'graph'), 6) as graph, round(avg(hit) filter (where system = 'search'), 6) as search from r group by category", False)
+def category_report(s, d):
+    """Accuracy by category of context, a column a system."""
+    r = table(s, d, "conversations").select((F.col("turn") % 4).alias("category"), F.when(F.col("conv_id") % 2 == 0, "graph").otherwise("search").alias("system"), (F.length("text") % 2).alias("hit"))
+    return r.groupBy("category").pivot("system", ["graph", "search"]).agg(F.round(F.avg("hit"), 6))
+
+
+@query("with r as (select (row_number() over (order by conv_id, turn) - 1) // 8 as batch, length(text) % 2 as hit from conversations), b as (select batch, sum(hit) as metric, count(*) as n from r group by batch) select round(sum(metric) / sum(n), 6) as mean, count(*) as batches from b", False)
+def mean_batch_metric(s, d):
+    """Sums of batches of eight over the number of samples."""
+    r = numbered(table(s, d, "conversations").select("conv_id", "turn", (F.length("text") % 2).alias("hit")), "conv_id", "turn")
+    b = r.groupBy(F.floor(F.col("nr") / 8).alias("batch")).agg(F.sum("hit").alias("metric"), F.count("*").alias("n"))
+    return b.agg(F.round(F.sum("metric") / F.sum("n"), 6).alias("mean"), F.count("*").alias("batches"))
+
+
+@query("with b as (select item_id, row_number() over (order by item_id) - 1 as nr from benchmark), c as (select doc_id, row_number() over (order by doc_id) - 1 as nr from documents) select nr // 8 as batch, item_id, doc_id from b join c using (nr)", False)
+def zipped_contexts(s, d):
+    """The k-th sample with the k-th context, in batches of eight; the longer side's rest is left out."""
+    b, c = (numbered(table(s, d, t).select(k), k) for t, k in (("benchmark", "item_id"), ("documents", "doc_id")))
+    return b.join(c, "nr").select(F.floor(F.col("nr") / 8).alias("batch"), "item_id", "doc_id")
+
+
+@query(" select a.idx as query, list(n.name order by t.k) as texts from seeds a, (select unnest(range(1, 6)) as k) t join nodes n on n.idx = (a.idx + t.k * 7) % (select count(*) from nodes) group by a.idx")
+def context_texts(s, d):
+    """Lists of context ids to their texts, in the order of the lists."""
+    n = nodes(s, d)
+    lists = seeds(s, d).select(F.col("idx").alias("query"), F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: (F.col("idx") + k * 7) % n.count()).alias("ids"))
+    each = lists.select("query", F.posexplode("ids").alias("k", "idx")).join(n.select("idx", "name"), "idx")
+    return each.groupBy("query").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "name"))), lambda r: r["name"]).alias("texts"))
 
 
 @query("select source, sum(length(text))::bigint as chars from documents group by source", False)

@@ -71,6 +71,31 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("path", "text").mapInPandas(run, ENTITIES)
 
 
+FILES = "path string, name string, body string, names array<string>, types array<int>"
+
+
+def remainder_of(path: str, text: str) -> tuple:
+    """(path, name, body, names, types) of a file's own node: its text without classes and functions, what it owns (type 3)."""
+    found, body = entities_of(path, text), text
+    for kind in ("class", "function"):
+        for e in found:
+            if e[1] == kind and e[4]:
+                body = body.replace(e[4], "")
+                body = body.strip() if kind == "function" else body
+    own = [e[2] for kind in ("function", "class") for e in found if e[1] == kind]
+    return path, f"{namespace(path)}.py", body, own, [3] * len(own)
+
+
+def file_rows(files: DataFrame) -> DataFrame:
+    """A row for each file (path, text) with text: its own node."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([remainder_of(p, t) for p, t in zip(b.path, b.text, strict=True) if t is not None], columns=["path", "name", "body", "names", "types"])
+
+    return files.select("path", "text").mapInPandas(run, FILES)
+
+
 def compiles(files: DataFrame) -> DataFrame:
     """The rows of (path, text) that are valid Python."""
 
