@@ -382,14 +382,14 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     if work.found is not None:
         linked = scratch.save(work.found.join(groups.select("node", "rep"), "node"), "linked")
         least = linked.groupBy("component").agg(F.min("rep").alias("c"))
-        groups = groups.join(scratch.save(linked.join(least, "component").select("node", "c"), "named"), "node", "left")
+        groups = groups.join(linked.join(least, "component").select("node", "c"), "node", "left")
     else:
         groups = groups.withColumn("c", F.col("rep"))
-    groups = scratch.save(groups.select("f1", "f2", F.coalesce("c", "rep").alias("c")), "groups")
+    groups = groups.select("f1", "f2", F.coalesce("c", "rep").alias("c"))
     named = some.select("doc_id", "n", "f1", "f2").join(groups, ["f1", "f2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), "f1", "f2")
     lone = all_.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "f1", "f2")
     out = scratch.save(named.unionByName(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))), "result")
-    scratch.drop("sketches", "classes", "leaders", "members", "marked", "open", "est_0", "groups", "named", "linked")
+    scratch.drop("sketches", "classes", "leaders", "members", "marked", "open", "est_0", "linked")
     return out
 
 
