@@ -45,15 +45,25 @@ def walk_choice(seed: int, repeat: int, step: int):
     return lambda root, node: (root * 7919 + node * 104729 + (seed + 31 * repeat + 7 * step)) % 1000003
 
 
-def walks(roots: DataFrame, edges: DataFrame, length: int, repeats: int, seed: int = 1) -> DataFrame:
+def walks(roots: DataFrame, edges: DataFrame, length: int, repeats: int, seed: int = 1, p: float = 1.0, q: float = 1.0) -> DataFrame:
     """(sg, idx): nodes on ``repeats`` walks of ``length`` steps along edges from each root, and the root.
 
-    The next neighbour is picked by a hash of root, node and step; a node without one ends the walk.
+    The next neighbour is picked by a hash of root, node and step; a node without one ends the walk.  With ``p`` or
+    ``q`` other than 1 a step also depends on the node before: going back there weighs 1 / p, a neighbour of it 1,
+    any other node 1 / q.
     """
-    w = Window.partitionBy("a").orderBy("b")
     step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
-    step = materialised(step.select("a", "b", (F.row_number().over(w) - 1).cast("long").alias("nth"), F.count("*").over(Window.partitionBy("a")).alias("many")))
     out = roots.select(F.col("idx").alias("sg"), "idx")
+    if p != 1 or q != 1:
+        step = materialised(step)
+        for r in range(repeats):
+            at = roots.select(F.col("idx").alias("sg"), "idx", F.lit(None).cast("long").alias("before"))
+            for k in range(length):
+                at = materialised(_biased_step(at, step, walk_choice(seed, r, k), p, q))
+                out = out.union(at.select("sg", "idx"))
+        return out.distinct()
+    w = Window.partitionBy("a").orderBy("b")
+    step = materialised(step.select("a", "b", (F.row_number().over(w) - 1).cast("long").alias("nth"), F.count("*").over(Window.partitionBy("a")).alias("many")))
     for r in range(repeats):
         at = roots.select(F.col("idx").alias("sg"), "idx")
         for k in range(length):
@@ -63,6 +73,17 @@ def walks(roots: DataFrame, edges: DataFrame, length: int, repeats: int, seed: i
     return out.distinct()
 
 
+def _biased_step(at: DataFrame, step: DataFrame, choice, p: float, q: float) -> DataFrame:
+    """The walkers (sg, idx, before) one weighted step on: the first neighbour whose running weight passes the hash's share of all."""
+    ahead = at.join(step, at.idx == step.a).select("sg", "idx", "before", "b")
+    beside = step.select(F.col("a").alias("before"), "b", F.lit(True).alias("near"))
+    weight = F.when(F.col("b") == F.col("before"), 1 / p).when(F.col("before").isNull() | F.col("near"), 1.0).otherwise(1 / q)
+    one = Window.partitionBy("sg")
+    rows = ahead.join(beside, ["before", "b"], "left").withColumn("w", weight).withColumns({"upto": F.sum("w").over(one.orderBy("b")), "all": F.sum("w").over(one)})
+    share = choice(F.col("sg"), F.col("idx")) / F.lit(1000003.0)
+    return rows.where(F.col("upto") > share * F.col("all")).groupBy("sg").agg(F.min("b").alias("to"), F.first("idx").alias("from")).select("sg", F.col("to").alias("idx"), F.col("from").alias("before"))
+
+
 def ppr_topk(roots: DataFrame, edges: DataFrame, alpha: float = 0.1, rounds: int = 5, k: int = 10) -> DataFrame:
     """(root, idx, score, rank): k largest entries of each root's row after ``rounds`` of (1-a) A P + a I.
 

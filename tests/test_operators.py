@@ -227,3 +227,51 @@ def test_load_samples(spark, tmp_path):
     for bad in (("x", "py", "if"), ("r", "x", "xf-f"), ("r", "py", "if"), ("c", "py", "zz")):
         with pytest.raises(ValueError):
             R.load_samples(spark, f"{tmp_path}/d", *bad)
+
+
+def test_biased_walks_against_loops(spark):
+    pairs = {(a, b) for a in range(12) for b in range(12) if a != b and (a * 7 + b * 5) % 4 == 0}
+    e = edges(spark, [(a, b, 0) for a, b in sorted(pairs)])
+    roots = spark.createDataFrame([(i,) for i in range(12)], "idx long")
+    for p, q in ((0.25, 4.0), (2.0, 0.5)):
+        want = {(i, i) for i in range(12)}
+        for r in range(2):
+            for root in range(12):
+                at, before = root, None
+                for k in range(5):
+                    ahead = sorted(b for a, b in pairs if a == at)
+                    if not ahead:
+                        break
+                    w = [1 / p if b == before else 1.0 if before is None or (before, b) in pairs else 1 / q for b in ahead]
+                    share = (root * 7919 + at * 104729 + (1 + 31 * r + 7 * k)) % 1000003 / 1000003.0 * sum(w)
+                    upto = 0.0
+                    for b, x in zip(ahead, w, strict=True):
+                        upto += x
+                        if upto > share:
+                            break
+                    at, before = b, at
+                    want.add((root, at))
+        assert {(r.sg, r.idx) for r in S.walks(roots, e, 5, 2, 1, p, q).collect()} == want
+
+
+def test_cells_meet_every_node(spark, monkeypatch):
+
+    monkeypatch.setattr(V, "BLOCK", 7)
+    monkeypatch.setattr(V, "CHUNK", 3)
+    x = np.random.default_rng(1).normal(size=(40, 5))
+    x[7] = x[3]
+    n = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "idx long, embedding array<double>")
+    q = n.where("idx % 4 = 3").select(F.col("idx").alias("query"), F.col("embedding").alias("q"))
+    dist = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    every = {(r.query, r.idx): r.score for r in V.scores(q, n, "euclidean").collect()}
+    assert len(every) == 10 * 39 and all(abs(s - dist[a, b]) < 2e-6 for (a, b), s in every.items())
+    got = {}
+    for r in V.near(q, n, "euclidean", 4).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.idx))
+    assert all([i for _, i in sorted(v)] == sorted((i for i in range(40) if i != k), key=lambda i: (dist[k, i], i))[:4] for k, v in got.items()) and len(got) == 10
+    gold = spark.createDataFrame([(k, (k + 1) % 40) for k in range(3, 40, 4)], "query long, gold long")
+    hits = {r.query: (r.hit1, r.hit9) for r in V.hits_at(V.scores(q, n, "cosine"), gold, [1, 9]).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for k, (h1, h9) in hits.items():
+        order = sorted((i for i in range(40) if i != k), key=lambda i: (-round(float(unit[k] @ unit[i]), 6), i))
+        assert (h1, h9) == (int((k + 1) % 40 in order[:1]), int((k + 1) % 40 in order[:9]))
