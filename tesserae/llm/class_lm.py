@@ -38,6 +38,8 @@ SHARE, BACKOFF = 0.9, 2.0
 HELD = 300_000
 #: Words whose neighbour counts are added up in one group.
 PART = 4096
+#: Bytes of coded texts that are worked on together.
+SLICE = 1 << 20
 END = 0  # the number of the end of a text
 
 
@@ -83,7 +85,7 @@ def _core_pairs(core: int):
     """Counts of adjacent numbers, those from ``core`` on (and words without one) as one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((core + 1) ** 2, np.int64)
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             x = _flat(b).astype(np.int64)
             x = np.where((x < 0) | (x > core), core, x)
             sums += np.bincount(x[:-1] * (core + 1) + x[1:], minlength=len(sums))
@@ -171,7 +173,7 @@ def _contexts(sent, v: int, kinds: int):
         of, parts = sent.value, -(-v // PART)
         slot = np.arange(v) % parts * PART + np.arange(v) // parts
         sums, pairs = np.zeros(parts * PART * 2 * kinds, np.int32), np.zeros(kinds * kinds, np.int64)
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             x = _flat(b)
             c = of[x]
             pairs += np.bincount(c[:-1].astype(np.int64) * kinds + c[1:], minlength=len(pairs))
@@ -251,7 +253,7 @@ def _rare_tokens(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = sent.value
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             x = _flat(b)
             c, pos, ends = of[x].astype(np.int32), np.flatnonzero(x < 0), np.flatnonzero(x == END)
             if len(pos):
@@ -297,7 +299,7 @@ def _numbered_pairs(sent, kinds: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, sums = sent.value, np.zeros(kinds * kinds, np.int64)
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             x = _flat(b)
             c = of[x].astype(np.int64)
             sums += np.bincount((c[:-1] * kinds + c[1:])[(x[:-1] >= 0) & (x[1:] >= 0)], minlength=len(sums))
@@ -350,7 +352,7 @@ def _scoring(sent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, term, logs = sent.value
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", SLICE):
             x = _flat(b)
             c = of[x]
             at = np.flatnonzero(x == END)[:-1] + 1
