@@ -21,9 +21,18 @@ BLOCK_DOCS, POINTS, JOBS = 1024, 16, 5
 STRETCHES = 4096
 
 
-def _unit(*parts: Column) -> Column:
+def _digest(*parts) -> Column:
+    return F.md5(F.concat_ws("|", *parts).cast("binary"))
+
+
+def _number(digest: Column, at: int, digits: int) -> Column:
+    """A long from some hexadecimal digits."""
+    return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+
+
+def _unit(*parts) -> Column:
     """A number in [0, 1) from a hash."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) / float(1 << 40)
+    return _number(_digest(*parts), 1, 10) / float(1 << 40)
 
 
 def exponent(sources: DataFrame, budget_share: float, repetition: float | None, entropy: float | None) -> float:
@@ -80,7 +89,7 @@ def _taken(docs: DataFrame, budget: int | None, repetition: float | None, entrop
     scratch = Scratch(docs.sparkSession)
     whole_row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     name, text = F.col("row.source"), F.col("row.text")
-    rows = whole_row.withColumns({"src": F.coalesce(F.concat(F.lit("="), name), F.lit("null")), "tokens": token_count(text)}).withColumn("print", F.xxhash64("row.doc_id", "src", text))
+    rows = whole_row.withColumns({"src": F.coalesce(F.concat(F.lit("="), name), F.lit("null")), "tokens": token_count(text)}).withColumn("print", _digest("row.doc_id", "src", text))
     slim = scratch.save(rows.select("src", "tokens", "print"), "slim")
     per = scratch.save(slim.groupBy("src").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs")), "sources")
     total = per.agg(F.sum("n")).first()[0]
@@ -93,9 +102,9 @@ def _taken(docs: DataFrame, budget: int | None, repetition: float | None, entrop
     plan = per.withColumn("goal", goal).select("src", "n", "goal", F.floor(F.col("goal") / F.col("n")).cast("int").alias("whole"), F.pmod("goal", "n").alias("rest"), F.ceil(F.col("docs") / block_docs).alias("blocks"))
     plan = scratch.save(plan, "plan")
 
-    block = F.pmod(F.xxhash64("print", F.lit("block")), F.col("blocks"))
+    block = F.pmod(_number(F.col("print"), 1, 15), F.col("blocks"))
     place = F.struct(_unit(F.col("src"), F.col("block"), F.col("whole")).alias("place"), F.col("block"))
-    inside = F.xxhash64("print", "whole")
+    inside = _number(F.col("print"), 16, 15)
     dealt = slim.join(plan.where("rest > 0"), "src").withColumn("block", block).withColumns({"at": place, "inside": inside})
     # blocks in the order of the last epoch; the one in which the budget ends is found among STRETCHES of that
     # order first, so that no task orders all blocks of a source

@@ -13,6 +13,7 @@ from .language_id import identify
 from .licences import scan_licences
 from .mixing import mixed_epochs
 from .near_dedup import near_duplicates
+from .oracles import ORACLES as LONG
 from .packing import pack
 from .permutation_index import nearest
 from .url_filter import judge, path_of
@@ -63,7 +64,10 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licences(table(spark, sf_dir, "documents"))
+    """``matches`` as text: licence, Dice coefficient in ten-thousandths, first word and words of each."""
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    match = lambda m: F.concat_ws(" ", m["licence"], F.floor(m["dice"] * 10000), m["first_word"], m["n_words"])
+    return found.withColumn("matches", F.concat_ws(", ", F.transform("matches", match)))
 
 
 LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -104,4 +108,4 @@ select cast(conv_id as bigint) as conv_id, count(*) as n_turns, sha256(string_ag
 from f group by conv_id
 """
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_near_dedup, op3_language_id, op4_class_lm, op5_exact_topk, op6_url_filter, op7_chat_format, op8_permutation_index, op9_source_mix, op10_licence_scan)}
-ORACLES = {"op2_near_dedup": OP2_SQL, "op5_exact_topk": OP5_SQL, "op7_chat_format": OP7_SQL}
+ORACLES = {"op2_near_dedup": OP2_SQL, "op5_exact_topk": OP5_SQL, "op7_chat_format": OP7_SQL} | LONG
