@@ -7,9 +7,12 @@ the whole set into coordinate i - SLOTS, so that they do end.  Bands of ``ROWS``
 
 Equal sets collapse before banding.  In each bucket all members meet the bucket's smallest member first, so that
 a bucket makes as many pairs as it has members.  What that leaves open (members of one bucket in several components,
-unless the triangle inequality of the Jaccard distance rules a link out) is settled exactly by a prefix filter:
-two sets with 80 % in common share one of their rarest shingles.  In a group of thousands of copies that were
-edited apart, the rarest shingles are the edits, so the filter makes few pairs whatever the group's size.
+unless the triangle inequality of the Jaccard distance rules a link out) is settled exactly, family by family: all
+that meet one leader.  Copies that were edited apart have their rarest shingles in common with most of their family,
+so a prefix filter over the sets would pair a stray one with all of it.  Each set is therefore written as its
+difference from the family's core (the shingles of more than half of it).  |x ^ y| = |X| + |Y| - 2 |X & Y| for the
+differences X and Y, so whether sets link is a bound on what their differences share: where it is nothing, the one
+nearest the core is linked with both; else they share one of the rarest elements of their differences, the edits.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -30,9 +34,9 @@ SLOTS, ROWS = 160, 5
 #: Sketch agreement below DROP never reaches 0.8 (nine standard deviations); NEAR and FAR bound what may skip a
 #: test by the triangle inequality, five standard deviations inside.
 DROP, NEAR, FAR = 0.5, 0.8, 0.22
-#: Shingles whose frequency is known when the rarest are chosen; the others count as rare.  Ratio of set sizes
-#: that share a posting key.
-FREQUENT, SIZE_STEP = 1 << 18, 1.05
+#: Sets and shingles, about, from which a family's core and frequencies are taken.  Results do not depend on them: any
+#: core and any order of elements that a family shares are exact.
+DRAWN, DRAWN_ITEMS = 512, 1 << 21
 #: log2 of the most bits in the broadcast filter of wanted ids (16 MB); a fuller filter only lets more texts by.
 MOST_BITS = 27
 #: 64-bit words of the pieces in which that filter is put together.
@@ -179,53 +183,55 @@ def _linked(percent: int):
     return run
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            g, n = np.unique(np.frombuffer(b"".join(b.column("items").to_pylist()), np.int64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"g": pa.array(g), "n": pa.array(n.astype(np.int64))})
+def _core(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+    """The shingles of more than half of a family's drawn sets, and how many differences hold each that was seen twice."""
+    g, n = np.unique(np.frombuffer(b"".join(t.column("items").to_pylist()), U64), return_counts=True)
+    inside = 2 * n > t.num_rows
+    seen = inside | (n > 1)
+    times = np.where(inside, t.num_rows - n, n)[seen].astype(np.int64)
+    return pa.table({"lead": [key[0].as_py()], **{name: pa.array([x.tobytes()], pa.binary()) for name, x in (("core", g[inside]), ("seen", g[seen]), ("times", times))}})
 
 
-def _needed(x, y, percent: int):
-    """The least intersection of sets of these sizes that makes a link."""
-    return -(-percent * (x + y) // (100 + percent))
+def _differences(percent: int):
+    """Each set as its difference from its family's core, rarest elements first, with its weight.
+
+    Two sets are linked if their differences share ``(w + w') / (2 * (100 + percent))`` elements or more.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, w, out = [], [], []
+            for x in zip(*(b.column(c) for c in ("items", "core", "seen", "times")), strict=True):
+                # a family of which nothing was drawn has no core
+                items, core, seen, times = (np.frombuffer(v.as_buffer() if v.is_valid else b"", kind) for v, kind in zip(x, (U64, U64, U64, np.int64), strict=True))
+                d = np.setxor1d(items, core, assume_unique=True)
+                at = np.minimum(np.searchsorted(seen, d), max(0, len(seen) - 1))
+                often = np.where(seen[at] == d, times[at], 0) if len(seen) else np.zeros(len(d), np.int64)
+                n.append(len(items))
+                w.append((100 + percent) * len(d) - (100 - percent) * len(items))
+                out.append(d[np.lexsort((d, often))].tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("lead", "id", "c", "away")), pa.array(n, pa.int64()), pa.array(w, pa.int64()), pa.array(out, pa.binary())], names=["lead", "id", "c", "away", "n", "w", "items"])
 
-def _step(n):
-    return np.floor(np.log(np.maximum(n, 1)) / np.log(SIZE_STEP) + 1e-9).astype(np.int64)
+    return run
 
 
-def _postings(frequent, percent: int):
-    """Rows (g, step, large, id, at, n, c, out): what a set may share as the smaller or the larger of a pair.
+def _postings(percent: int):
+    """Rows (lead, g, id, c, away, n, w, d, at): the first elements of a difference of d, one of which a link must share.
 
-    The smaller set posts its prefix under its own size step.  The larger posts each shingle of its prefix under
-    the steps of the sizes with which that place can still reach the needed intersection.
+    ``low`` is the least weight of those that a set may be linked with, from which follows how much it shares at least.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = frequent.value
         for b in batches:
-            out = []
-            for ident, items, c, loose in zip(*(b.column(x).to_pylist() for x in ("id", "items", "c", "out")), strict=True):
-                g = np.frombuffer(items, np.int64)
-                n = len(g)
-                at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-                often = np.where(known[at] == g, times[at], 0) if len(known) else np.zeros(n, np.int64)
-                g = g[np.lexsort((g, often))]
-                small = g[: n - _needed(n, n, percent) + 1]
-                rows = [(small, np.full(len(small), _step(n)), np.zeros(len(small), bool), np.arange(len(small)))]
-                least = -(-percent * n // 100)
-                i = np.arange(n - least + 1)
-                # n - i shingles are left from place i on: sizes m with needed(n, m) <= n - i
-                top = np.minimum(n, (100 + percent) * (n - i) // percent - n)
-                low, high = _step(least), _step(top)
-                many = np.maximum(high - low + 1, 0)
-                rep = np.repeat(i, many)
-                rows.append((g[rep], low + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many), np.ones(len(rep), bool), rep))
-                size = sum(len(r[0]) for r in rows)
-                out.append([*map(np.concatenate, zip(*rows, strict=True)), np.full(size, ident), np.full(size, n), np.full(size, c), np.full(size, loose)])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["g", "step", "large", "at", "id", "n", "c", "out"])
+            w, low = (np.asarray(b.column(c)) for c in ("w", "low"))
+            d = np.asarray(pc.binary_length(b.column("items"))).astype(np.int64) // 8
+            least = np.maximum(1, -(-(w + low) // (2 * (100 + percent))))
+            many = np.maximum(0, d - least + 1)
+            row = np.repeat(np.arange(b.num_rows), many)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            parts = [np.frombuffer(x.as_buffer(), np.int64, k) for x, k in zip(b.column("items"), many.tolist(), strict=True) if k]
+            out = b.select(["lead", "id", "c", "away", "n", "w"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.concatenate(parts) if parts else at), pa.array(d[row]), pa.array(at)], names=[*out.schema.names, "g", "d", "at"])
 
     return run
 
@@ -298,24 +304,35 @@ class _Links:
         if not rest.isEmpty():
             self._take(self.verify(rest, f"{tag}_more"), f"{tag}_c2")
 
-    def settle(self, left: DataFrame, tag: str) -> None:
-        """All links between different components among ``left`` (node, c, out) with an end whose ``out`` is set."""
-        self.fetch(left.select(F.col("node").alias("a"), F.col("node").alias("b")), tag)
-        sets = self.sets.join(left.withColumnRenamed("node", "id"), "id")
-        often = self.scratch.save(sets.select("items").mapInArrow(_frequencies, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where("n > 1"), f"{tag}_often")
-        # the most frequent shingles, as many whole frequency classes as fit the bound
-        steps = often.groupBy(F.floor(F.log2("n") * 16).alias("s")).count().orderBy(F.desc("s")).collect()
-        fit = [s for s, total in zip((r.s for r in steps), np.cumsum([r["count"] for r in steps]), strict=True) if total <= FREQUENT]
-        top = often.where(F.floor(F.log2("n") * 16) >= fit[-1]).toPandas().sort_values("g") if fit else None
-        frequent = left.sparkSession.sparkContext.broadcast((top.g.to_numpy(np.int64), top.n.to_numpy(np.int64)) if fit else (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-        posts = self.scratch.save(sets.mapInArrow(_postings(frequent, self.percent), "g long, step long, large boolean, at long, id long, n long, c long, out boolean"), f"{tag}_posts")
-        need = F.ceil(F.lit(self.percent) * (F.col("s_n") + F.col("l_n")) / F.lit(100 + self.percent))
-        could = (F.col("s_c") != F.col("l_c")) & ((F.col("s_n") < F.col("l_n")) | (F.col("s_n") == F.col("l_n")) & (F.col("s_id") < F.col("l_id")))
-        could &= F.least(F.col("s_n") - F.col("s_at"), F.col("l_n") - F.col("l_at")) >= need
-        role = lambda name, test: posts.where(test).select("g", "step", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "at", "n", "c")])
-        meet = role("s", "not large").join(role("l", "large and out"), ["g", "step"]).where(could).unionByName(role("s", "not large and out").join(role("l", "large and not out"), ["g", "step"]).where(could))
-        pairs = self.scratch.save(meet.select(F.greatest("s_id", "l_id").alias("a"), F.least("s_id", "l_id").alias("b")).distinct(), f"{tag}_pairs")
-        self.scratch.drop(f"{tag}_posts", f"{tag}_often")
+    def settle(self, family: DataFrame, tag: str) -> None:
+        """All links between different components inside the families ``family`` (lead, node, c)."""
+        save, twice = self.scratch.save, 2 * (100 + self.percent)
+        parts = family.join(self.classes.select("node", "n"), "node").groupBy("lead", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+        # of two that may be linked, one at least is away from the component that most of the family is in
+        homes = parts.groupBy("lead").agg(F.max_by("c", F.struct("m", "c")).alias("home"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("parts")).where("parts > 1")
+        share = F.least(F.lit(DRAWN) / F.col("m"), F.lit(DRAWN_ITEMS) / F.col("n"))
+        drawn = F.pmod(F.xxhash64("node", "lead"), F.lit(1 << 20)) < share * (1 << 20)
+        rows = save(family.join(homes, "lead").select("lead", F.col("node").alias("id"), "c", (F.col("c") != F.col("home")).alias("away"), drawn.alias("drawn")), f"{tag}_family")
+        self.fetch(rows.select(F.col("id").alias("a"), F.col("id").alias("b")), tag)
+        if rows.isEmpty():
+            return
+        sets = rows.join(self.sets, "id")
+        cores = save(sets.where("drawn").select("lead", "items").groupBy("lead").applyInArrow(_core, "lead long, core binary, seen binary, times binary"), f"{tag}_cores")
+        kind = "lead long, id long, c long, away boolean, n long, w long"
+        deltas = save(sets.join(cores, "lead", "left").mapInArrow(_differences(self.percent), f"{kind}, items binary"), f"{tag}_deltas")
+        lows = save(deltas.groupBy("lead").agg(F.min(F.when(F.col("away"), F.col("w"))).alias("far"), F.min(F.when(~F.col("away"), F.col("w"))).alias("near"), F.min(F.struct("w", "id", "c")).alias("first")), f"{tag}_lows")
+        # weights that sum to nothing or less make a link: with the least weight, if with any
+        known = deltas.drop("items").join(lows, "lead")
+        sure = known.where((F.col("c") != F.col("first.c")) & (F.col("w") + F.col("first.w") <= 0)).select(F.col("id").alias("x_id"), F.col("first.id").alias("y_id"))
+        low = F.when(F.col("away"), F.least("far", "near")).otherwise(F.col("far"))
+        posts = save(deltas.join(lows.select("lead", "far", "near"), "lead").withColumn("low", low).drop("far", "near").mapInArrow(_postings(self.percent), f"{kind}, g long, d long, at long"), f"{tag}_posts")
+        role = lambda name, rows: rows.select("lead", "g", *[F.col(c).alias(f"{name}_{c}") for c in ("id", "c", "away", "n", "w", "d", "at")])
+        could = (F.col("x_c") != F.col("y_c")) & (~F.col("y_away") | (F.col("x_id") < F.col("y_id")))
+        could &= F.lit(twice) * F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at")) >= F.col("x_w") + F.col("y_w")
+        could &= F.lit(100) * F.least("x_n", "y_n") >= F.lit(self.percent) * F.greatest("x_n", "y_n")
+        meet = role("x", posts.where("away")).join(role("y", posts), ["lead", "g"]).where(could).select("x_id", "y_id").unionByName(sure)
+        pairs = save(meet.select(F.greatest("x_id", "y_id").alias("a"), F.least("x_id", "y_id").alias("b")).distinct(), f"{tag}_pairs")
+        self.scratch.drop(*(f"{tag}_{x}" for x in ("family", "cores", "deltas", "lows", "posts")))
         if not pairs.isEmpty():
             self._take(self.verify(pairs, f"{tag}_links"), f"{tag}_c")
 
@@ -352,7 +369,7 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     all_ = scratch.save(docs.mapInArrow(_sketched(shingle), "doc_id long, n long, f1 long, f2 long, bands array<long>, sig binary"), "sketches")
     some = all_.where("n > 0 and doc_id is not null")
     # a class of equal sets is one node of the graph, with a number of its own: one doc_id may have several texts
-    equal = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    equal = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = scratch.save(equal.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     posts = classes.select(F.explode("bands").alias("key"), "node")
@@ -370,13 +387,12 @@ def _grouped(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     marked = comp(comp(members.where("node <> lead").join(est.select(F.col("a").alias("node"), F.col("b").alias("lead"), "est"), ["node", "lead"], "left"), "node", "c"), "lead", "its")
     est_of = lambda test: F.coalesce(test, F.lit(False))
     kind = F.when(est_of(F.col("est") >= NEAR) & (F.col("c") == F.col("its")), 0).when(est_of(F.col("est") < FAR), 2).otherwise(1)
-    marked = scratch.save(marked.select("key", "node", "c", (F.col("c") != F.col("its")).alias("out"), kind.alias("kind")), "marked")
+    marked = scratch.save(marked.select("key", "lead", "node", "c", (F.col("c") != F.col("its")).alias("out"), kind.alias("kind")), "marked")
     counts = [F.sum(test.cast("long")).alias(name) for name, test in (("loose", F.col("out")), ("mid", F.col("kind") == 1), ("far", F.col("kind") == 2))]
     open_ = marked.groupBy("key").agg(*counts, F.count("*").alias("m")).where("loose > 0 and (mid > 0 and m > 1 or far > 1)")
     rest = scratch.save(marked.join(open_.select("key", "mid"), "key").where("kind > 0 or mid > 0"), "open")
     if not rest.isEmpty():
-        left = scratch.save(rest.groupBy("node").agg(F.min("c").alias("c"), F.max("out").alias("out")), "left")
-        work.settle(left, "settle")
+        work.settle(scratch.save(rest.select("lead", "node", "c").distinct(), "left"), "settle")
 
     groups = classes.select("f1", "f2", "node", "rep")
     if work.found is not None:

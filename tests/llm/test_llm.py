@@ -60,6 +60,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) and r.n_shingles == len(shingles(rows[[x[0] for x in rows].index(r.doc_id)][1])) for r in got)
 
 
+def test_stray_copies_do_not_meet_a_whole_group(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(440):  # every eleventh is edited so far that most, not all, of them are linked with none of the others
+        w = [f"w{k}" for k in range(120)]
+        for at in rng.choice(np.arange(1, 119, 2), 6 if i % 11 == 0 else rng.integers(3, 5), replace=False):
+            w[at] = f"e{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w), None, None))
+    tried, verify = [], near_dedup._Links.verify
+
+    def counted(self, pairs, tag):
+        tried.append((tag, pairs.count()))
+        return verify(self, pairs, tag)
+
+    monkeypatch.setattr(near_dedup._Links, "verify", counted)
+    want = components({i: shingles(t) for i, t, _, _ in rows})
+    for drawn in (near_dedup.DRAWN, 1):  # the core decides about the work, not about the links
+        monkeypatch.setattr(near_dedup, "DRAWN", drawn)
+        tried.clear()
+        assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, rows), 2).collect()} == want
+        if drawn > 1:
+            assert dict(tried)["settle_links"] < 10 * len(rows)
+
+
 def test_one_id_with_several_texts(spark):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(5, a, None, None), (5, b, None, None), (7, a + " more", None, None), (9, b + " more", None, None), (3, b, None, None), (5, a, None, None), (11, "other", None, None), (11, " ", None, None)]
